@@ -1,0 +1 @@
+"""No streaming operators: incremental work is batch, see ``tessera.sources.storage``."""
