@@ -48,6 +48,8 @@ def parse(factor_name: str) -> tuple[str, list[int], int]:
 
 def factor(bars: DataFrame, factor_name: str) -> DataFrame:
     """Append one factor under its full name, lagged by the shift in the name."""
+    import tessera.operators.indicators  # noqa: F401  fills the registry
+
     output, args, shift = parse(factor_name)
     entry = BY_OUTPUT[output]
     args = [*args, *entry.defaults[len(args) :]]

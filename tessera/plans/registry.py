@@ -96,14 +96,14 @@ def _closing(text: str, start: int) -> int:
 
 
 def on_grid(sql: str) -> str:
-    """Rewrite ``round(x, d)`` with d of 4, 6 or 8 to the same grid as :func:`r`."""
+    """Rewrite ``round(x, d)`` with an even d to the same grid as :func:`r`."""
     at = sql.find("round(")
     if at < 0:
         return sql
     end = _closing(sql, at + 6)
     inner, comma, digits = sql[at + 6 : end].rpartition(",")
     inner, rest = on_grid(inner), on_grid(sql[end + 1 :])
-    if digits.strip() in ("4", "6", "8"):
+    if digits.strip() in ("0", "2", "4", "6", "8"):
         unit = f"1e{digits.strip()}"
         return f"{sql[:at]}(floor(({inner}) * {unit} + {GRID_EDGE}) / {unit}){rest}"
     return f"{sql[:at]}round({inner},{digits}){rest}"
