@@ -24,15 +24,19 @@ def adjust(bars: DataFrame, prices: Sequence[str] = PRICES, mode: str = "forward
     return bars.select(*[scaled.get(c, F.col(c)) for c in bars.columns])
 
 
-def align_to_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """One row per code and open day between the code's first and last bar.
+def align_to_calendar(
+    bars: DataFrame, calendar: DataFrame, keys: Sequence[str] = ("code",), until: Column | None = None
+) -> DataFrame:
+    """One row per key and open day between the key's first and last bar (or ``until``).
 
-    The days come from the code's own span and are cut to the calendar by an equi-join, so
+    The days come from the key's own span and are cut to the calendar by an equi-join, so
     nothing is paired with everything.
     """
-    span = bars.groupBy("code").agg(F.min("dt").alias("_from"), F.max("dt").alias("_to"))
-    days = span.select("code", F.explode(F.sequence("_from", "_to")).alias("dt"))
-    return days.join(calendar.select("dt"), "dt", "left_semi").join(bars, ["code", "dt"], "left")
+    span = bars.groupBy(*keys).agg(F.min("dt").alias("_from"), F.max("dt").alias("_to"))
+    if until is not None:
+        span = span.withColumn("_to", until)
+    days = span.select(*keys, F.explode(F.sequence("_from", "_to")).alias("dt"))
+    return days.join(calendar.select("dt"), "dt", "left_semi").join(bars, [*keys, "dt"], "left")
 
 
 def carry_events(bars: DataFrame, events: DataFrame, columns: Sequence[str], back: bool = False) -> DataFrame:
