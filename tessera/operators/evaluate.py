@@ -117,6 +117,7 @@ def _report_frame(panel: DataFrame, factor: str, periods: Sequence[int]) -> Data
     ahead = {f"p{d}": F.try_divide(W.future(F.col("close"), d), F.col("close")) - 1 for d in periods}
     df = panel.select("code", "dt", "industry", factor, *[v.alias(k) for k, v in ahead.items()])
     df = X.add_zscore(df, factor, "_f", ["dt", "industry"], population=True).where("_f is not null")
+    df = df.withColumn("_f", F.round("_f", 9))  # equal scores of different industries stay ties
     return X.add_buckets(df, "_f", 5, "q")
 
 
