@@ -10,8 +10,9 @@ rows than the window uses its whole history as the window.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -19,12 +20,18 @@ CODE, DT = "code", "dt"
 NOISE = 1e-9
 
 
+@lru_cache(maxsize=None)
+def _spec(session: int, n: int | None) -> WindowSpec:
+    ordered = Window.partitionBy(CODE).orderBy(DT)
+    return ordered if n is None else ordered.rowsBetween(-(n - 1), 0)
+
+
 def history() -> WindowSpec:
-    return Window.partitionBy(CODE).orderBy(DT)
+    return _spec(id(SparkContext._active_spark_context), None)
 
 
-def rows(n: int) -> WindowSpec:
-    return history().rowsBetween(-(int(n) - 1), 0)
+def rows(n: float) -> WindowSpec:
+    return _spec(id(SparkContext._active_spark_context), int(n))
 
 
 def upto() -> WindowSpec:
@@ -131,7 +138,7 @@ def correlation(x: Column, y: Column, n: float = 10) -> Column:
 def covariance(x: Column, y: Column, n: float = 10) -> Column:
     w = rows(n)
     pairs = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).over(w)
-    return F.when(pairs == int(n), F.covar_samp(x, y).over(w))
+    return F.when(pairs == int(n), F.round(F.covar_samp(x, y).over(w), 11))
 
 
 def product(x: Column, n: float = 10, length: Column | None = None, compat: bool = False) -> Column:
@@ -140,19 +147,22 @@ def product(x: Column, n: float = 10, length: Column | None = None, compat: bool
     return _zero_until(n, F.product(zero(x)).over(rows(n)), length)
 
 
+def _weighted(values: Column, weight) -> Column:
+    """Sum of the window's values times ``weight(position)``, oldest value first."""
+    return F.aggregate(F.transform(values, lambda v, i: v * weight(i)), F.lit(0.0), lambda total, v: total + v)
+
+
 def decay_linear(
     x: Column, n: float = 10, length: Column | None = None, compat: bool = False, newest_heavy: bool = False
 ) -> Column:
     """Linearly weighted mean. The oldest row weighs most unless ``newest_heavy``."""
-    n = int(n)
     size = _need(n, length)
-    weights = [(n - k) if newest_heavy else (k + 1) for k in range(n)]
-    lags = [F.lag(zero(x) if compat else x, k).over(history()) for k in range(n)]
-    total = reduce(lambda a, b: a + b, (F.coalesce(v, F.lit(0.0)) * w for v, w in zip(lags, weights)))
+    values = _window_values(zero(x) if compat else x, n)
+    total = _weighted(values, (lambda i: i + 1) if newest_heavy else (lambda i: size - i))
     value = total / (size * (size + 1) / 2.0)
     if compat:
         return _zero_until(n, value, length)
-    return F.when(F.count(x).over(rows(n)) == size, value)
+    return F.when(F.size(values) == size, value)
 
 
 wma = decay_linear
@@ -202,14 +212,13 @@ def sumac(x: Column, n: float = 10) -> Column:
 
 def regbeta(x: Column, n: int, length: Column | None = None, compat: bool = False) -> Column:
     """Slope of x on 1..n with the sample-covariance over population-variance factor n/(n-1)."""
-    n = int(n)
     size = _need(n, length).cast("double")
-    lags = [F.coalesce(F.lag(zero(x) if compat else x, k).over(history()), F.lit(0.0)) for k in range(n)]
-    total = reduce(lambda a, b: a + b, (v * ((size - 1) / 2.0 - k) for k, v in enumerate(lags)))
+    values = _window_values(zero(x) if compat else x, n)
+    total = _weighted(values, lambda i: i - (size - 1) / 2.0)
     slope = F.try_divide(total * 12.0, size * (size * size - 1)) * F.try_divide(size, size - 1)
     if compat:
         return _zero_until(n, slope, length)
-    return F.when(F.count(x).over(rows(n)) == size, slope)
+    return F.when(F.size(values) == size, slope)
 
 
 def position() -> Column:
@@ -229,7 +238,8 @@ def ffill(x: Column) -> Column:
 
 
 def bfill(x: Column) -> Column:
-    return F.first(x, ignorenulls=True).over(history().rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.partitionBy(CODE).orderBy(F.desc(DT)).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(x, ignorenulls=True).over(backwards)
 
 
 def future(x: Column, k: int) -> Column:

@@ -19,9 +19,9 @@ def adjust(bars: DataFrame, prices: Sequence[str] = PRICES, mode: str = "forward
         return bars
     whole = W.history().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pick = {"forward": F.last, "backward": F.first}[mode]
-    base = pick(F.col(factor), ignorenulls=True).over(whole)
-    scaled = {p: (F.col(p) * F.col(factor) / base).alias(p) for p in prices}
-    return bars.select(*[scaled.get(c, F.col(c)) for c in bars.columns])
+    based = bars.withColumn("_base", pick(F.col(factor), ignorenulls=True).over(whole))
+    scaled = {p: (F.col(p) * F.col(factor) / F.col("_base")).alias(p) for p in prices}
+    return based.select(*[scaled.get(c, F.col(c)) for c in bars.columns])
 
 
 def align_to_calendar(
@@ -53,11 +53,13 @@ def carry_events(bars: DataFrame, events: DataFrame, columns: Sequence[str], bac
     )
     order = Window.partitionBy("code").orderBy("dt", "_bar")
     seen = order.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    # Bars before the first event take that event. The whole-history frame is evaluated once per
+    # code, where a frame from each row on to the end would be quadratic in the history.
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def value(c: str) -> Column:
         v = F.last(F.col(f"_e_{c}"), ignorenulls=True).over(seen)
-        return F.coalesce(v, F.first(F.col(f"_e_{c}"), ignorenulls=True).over(ahead)) if back else v
+        return F.coalesce(v, F.first(F.col(f"_e_{c}"), ignorenulls=True).over(whole)) if back else v
 
     out = stacked.select("*", *[value(c).alias(c) for c in columns])
     return out.where("_bar = 1").select(*bars.columns, *columns)
@@ -79,8 +81,11 @@ def build_bars(
     limits follow the board rule on ``board`` (the code itself by default).
     """
     aligned = align_to_calendar(bars, calendar)
-    aligned = carry_events(aligned, adjustments, ["adj_factor"], back=True)
-    aligned = carry_events(aligned, names, ["name"], back=True)
+    # Both event tables ride in one stack, so carrying them costs one exchange.
+    events = adjustments.select("code", "dt", "adj_factor").unionByName(
+        names.select("code", "dt", "name"), allowMissingColumns=True
+    )
+    aligned = carry_events(aligned, events, ["adj_factor", "name"], back=True)
     aligned = aligned.join(limits, ["code", "dt"], "left")
     priced = aligned.select(
         "code",

@@ -89,8 +89,8 @@ class FormulaFrame:
             return value
         return Term(self, F.lit(float(value)), 0, repr(float(value)))
 
-    def field(self, name: str) -> Term:
-        return Term(self, F.col(name), 0, name)
+    def field(self, name: str, level: int = 0) -> Term:
+        return Term(self, F.col(name), level, name)
 
     def __getattr__(self, name: str) -> Term:
         if name in FIELDS:
@@ -116,7 +116,7 @@ class FormulaFrame:
         if name is None:
             name = self.names[text] = f"_t{len(self.names)}"
             self.levels.setdefault(level, {})[name] = value
-        return Term(self, F.col(name), level, name)
+        return self.field(name, level)
 
     def _along(self, text: str, value: Column, *inputs: Term) -> Term:
         return self._stage(True, text, value, *inputs)
