@@ -27,7 +27,7 @@ def _warm(n, value):
 
 def _decay(v, n):
     terms = " + ".join(f"coalesce(lag({v}, {k}) {P}, 0) * {k + 1}" for k in range(n))
-    return _warm(n, f"({terms}) / (least({n}, _length) * (least({n}, _length) + 1) / 2.0)")
+    return _warm(n, f"round(({terms}) / (least({n}, _length) * (least({n}, _length) + 1) / 2.0), 11)")
 
 
 def _since(v, n, best):
@@ -81,6 +81,9 @@ class SqlFrame(FormulaFrame):
     def field(self, name, level=0):
         return Term(self, name, level, name)
 
+    def _placer(self, level):
+        return None
+
     def number(self, t):
         return f"(case when {t.value} then 1.0 else 0.0 end)::double" if t.boolean else t.value
 
@@ -99,22 +102,22 @@ class SqlFrame(FormulaFrame):
 
     def _rolling(self, fn, x, *args, **kw):
         x = self.term(x)
-        return self._along(f"{fn.__name__}({x.key},{args})", ROLLING[fn.__name__](self.number(x), *args), x)
+        return self._along(f"{fn.__name__}({x.key},{args})", lambda _: ROLLING[fn.__name__](self.number(x), *args), x)
 
     def rank(self, x):
         x = self.term(x)
-        return self._stage(False, f"rank({x.key})", rank_sql(self.number(x)), x)
+        return self._stage(False, f"rank({x.key})", lambda _: rank_sql(self.number(x)), x)
 
     def count(self, condition, n):
         t = self.term(condition)
         least = n - 1 if n <= 10 else n * 2 // 3
         value = f"case when row_number() {P} >= {least} then sum({self.number(t)}) {over(n)} end"
-        return self._along(f"count({t.key},{n})", value, t)
+        return self._along(f"count({t.key},{n})", lambda _: value, t)
 
     def sumif(self, x, n, condition):
         x, c = self.term(x), self.term(condition)
         value = _warm(n, f"sum(case when {c.value} then coalesce({self.number(x)}, 0) else 0 end) {over(n)}")
-        return self._along(f"sumif({x.key},{n},{c.key})", value, x, c)
+        return self._along(f"sumif({x.key},{n},{c.key})", lambda _: value, x, c)
 
     def _pairwise(self, fn, x, y, n):
         x, y = self.term(x), self.term(y)
@@ -125,13 +128,13 @@ class SqlFrame(FormulaFrame):
         else:
             sa, sb = f"stddev_pop({a}) {over(n)}", f"stddev_pop({b}) {over(n)}"
             value = f"case when {pairs} and {sa} > 1e-9 and {sb} > 1e-9 then round(covar_pop({a}, {b}) {over(n)} / ({sa} * {sb}), 9) end"
-        return self._along(f"{fn.__name__}({x.key},{y.key},{n})", value, x, y)
+        return self._along(f"{fn.__name__}({x.key},{y.key},{n})", lambda _: value, x, y)
 
     def _row(self, name, fn, *inputs):
         terms = [self.term(t) for t in inputs]
         v = [self.number(t) for t in terms]
         text = {
-            "log": lambda: f"(case when {v[0]} > 0 then ln({v[0]}) end)",
+            "log": lambda: f"round(case when {v[0]} > 0 then ln({v[0]}) end, 12)",
             "abs": lambda: f"abs({v[0]})",
             "sign": lambda: f"cast(sign({v[0]}) as double)",
             "scale": lambda: f"({v[0]} / 1000.0)",
@@ -154,7 +157,13 @@ class SqlFrame(FormulaFrame):
             ctes[f"f{level}"] = f"select *, {columns} from {source}"
             source = f"f{level}"
         values = {k: self.number(t) for k, t in outputs.items()}
-        body = ", ".join(f"round(case when isfinite({v}) then {v} end, {digits}) as {k}" for k, v in values.items())
+        finals = ", ".join(f"{v} as {k}" for k, v in values.items())
+        ctes["fz"] = f"select code, dt, {finals} from {source}"
+        body = ", ".join(
+            f"round(case when isfinite({k}) then case when abs({k}) > 1e6 then sign({k}) * (1e6 + 1e3 * ln(abs({k}) / 1e6)) else {k} end end, {digits}) as {k}"
+            for k in values
+        )
+        source = "fz"
         return ctes, f"select code, dt, {body} from {source}"
 
 

@@ -21,6 +21,12 @@ c = F.col
 BATCH = 20  # formulas per job: wide enough to share levels, small enough for code generation
 
 
+def tame(x):
+    """Values beyond a million on a log scale: powers of prices would leave the comparison grid."""
+    x = c(x)
+    return F.when(F.abs(x) > 1e6, F.signum(x) * (1e6 + 1e3 * F.ln(F.abs(x) / 1e6))).otherwise(x)
+
+
 def _catalogue_queries(catalogue):
     named = list(recipes(catalogue).items())
     for start in range(0, len(named), BATCH):
@@ -30,7 +36,7 @@ def _catalogue_queries(catalogue):
 
         def run(spark, path, batch=batch):
             out = evaluate(formula_panel(src.bars_monthly(spark, path)), batch)
-            return out.select("code", "dt", *[r(k, 4).alias(k) for k in batch])
+            return out.select("code", "dt", *[r(tame(k), 4).alias(k) for k in batch])
 
         register(f"O04_{catalogue}_{first}_{last}", run, with_views(body, "bars_m", extra=ctes))
 

@@ -140,6 +140,7 @@ _window(
     "W15_decay_linear",
     lambda x, z: {"v": W.decay_linear(x, 8), "vc": W.decay_linear(z, 8, compat=True), "vn": W.decay_linear(x, 8, newest_heavy=True)},
     {"v": f"case when count(x) {over(8)} = 8 then {_decay('x', 8)} end", "vc": _zero(8, _decay("coalesce(z, 0)", 8)), "vn": f"case when count(x) {over(8)} = 8 then {_decay('x', 8, True)} end"},
+    digits=4,
 )
 _window("W16_wma", lambda x: {"v": W.wma(x, 6, compat=True)},
     {"v": _zero(6, _decay("x", 6))})

@@ -80,6 +80,7 @@ class FormulaFrame:
     def __init__(self, panel: DataFrame):
         self.panel = panel
         self.levels: dict[int, dict[str, Column]] = {}
+        self.parts: dict[int, dict[str, Column]] = {}
         self.names: dict[str, str] = {}
         self.length = F.col("_length")
 
@@ -109,26 +110,44 @@ class FormulaFrame:
             return Term(self, value, level, key, True)
         return Term(self, ARITHMETIC[op](self.number(a), self.number(b)), level, key)
 
-    def _stage(self, odd: bool, text: str, value: Column, *inputs: Term) -> Term:
-        name = self.names.get(text)
+    def _level(self, odd: bool, inputs) -> int:
         level = max(t.level for t in inputs) + 1
-        level += (level % 2 == 1) != odd
+        return level + ((level % 2 == 1) != odd)
+
+    def _stage(self, odd: bool, text: str, build: Callable, *inputs: Term) -> Term:
+        level = self._level(odd, inputs)
+        name = self.names.get(text)
         if name is None:
             name = self.names[text] = f"_t{len(self.names)}"
-            self.levels.setdefault(level, {})[name] = value
+            self.levels.setdefault(level, {})[name] = build(level)
         return self.field(name, level)
 
-    def _along(self, text: str, value: Column, *inputs: Term) -> Term:
-        return self._stage(True, text, value, *inputs)
+    def _placer(self, level: int) -> Callable:
+        """Window placement that computes each distinct window of a level once."""
+        parts = self.parts.setdefault(level, {})
+
+        def over(value: Column, n: float | None) -> Column:
+            key = f"{level}|{value._jc.toString()}|{n if n is None else int(n)}"
+            name = self.names.get(key)
+            if name is None:
+                name = self.names[key] = f"_w{len(self.names)}"
+                parts[name] = W.place(value, n)
+            return F.col(name)
+
+        return over
+
+    def _along(self, text: str, build: Callable, *inputs: Term) -> Term:
+        """``build(over)`` gives the column from windows placed by ``over``."""
+        return self._stage(True, text, lambda level: build(self._placer(level)), *inputs)
 
     def _rolling(self, fn: Callable, x, *args, **kw) -> Term:
         x = self.term(x)
-        return self._along(f"{fn.__name__}({x.key},{args})", fn(self.number(x), *args, **kw), x)
+        return self._along(f"{fn.__name__}({x.key},{args})", lambda over: fn(self.number(x), *args, over=over, **kw), x)
 
     # -- across dates ----------------------------------------------------------
     def rank(self, x) -> Term:
         x = self.term(x)
-        return self._stage(False, f"rank({x.key})", self.number(x), x)
+        return self._stage(False, f"rank({x.key})", lambda _: self.number(x), x)
 
     # -- along codes -----------------------------------------------------------
     def delay(self, x, k=1):
@@ -181,16 +200,22 @@ class FormulaFrame:
 
     def count(self, condition, n):
         t = self.term(condition)
-        return self._along(f"count({t.key},{n})", W.count(t.value, n), t)
+        return self._along(f"count({t.key},{n})", lambda over: W.count(t.value, n, over), t)
 
     def sumif(self, x, n, condition):
         x, c = self.term(x), self.term(condition)
-        value = W.sumif(self.number(x), n, c.value, self.length, compat=True)
-        return self._along(f"sumif({x.key},{n},{c.key})", value, x, c)
+        return self._along(
+            f"sumif({x.key},{n},{c.key})",
+            lambda over: W.sumif(self.number(x), n, c.value, self.length, compat=True, over=over),
+            x,
+            c,
+        )
 
     def _pairwise(self, fn, x, y, n):
         x, y = self.term(x), self.term(y)
-        return self._along(f"{fn.__name__}({x.key},{y.key},{n})", fn(self.number(x), self.number(y), n), x, y)
+        return self._along(
+            f"{fn.__name__}({x.key},{y.key},{n})", lambda over: fn(self.number(x), self.number(y), n, over=over), x, y
+        )
 
     def corr(self, x, y, n):
         return self._pairwise(W.correlation, x, y, n)
@@ -205,7 +230,7 @@ class FormulaFrame:
         return Term(self, fn(*[self.number(t) for t in terms]), max(t.level for t in terms), key)
 
     def log(self, x):
-        return self._row("log", S.log, x)
+        return self._row("log", lambda v: F.round(S.log(v), 12), x)  # same last digits on every platform
 
     def abs(self, x):
         return self._row("abs", F.abs, x)
@@ -237,7 +262,9 @@ class FormulaFrame:
         for level in sorted(self.levels):
             columns = self.levels[level]
             if level % 2:
-                df = df.select("*", *[v.alias(k) for k, v in columns.items()])
+                known = df.columns
+                df = df.select("*", *[v.alias(k) for k, v in self.parts[level].items()])
+                df = df.select(*known, *[v.alias(k) for k, v in columns.items()])
             else:
                 df = add_ranks(df, columns, small=small)
         return df.select("code", "dt", *[S.clean(self.number(t)).alias(k) for k, t in outputs.items()])
