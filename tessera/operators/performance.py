@@ -61,7 +61,7 @@ def ratios(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         annual_growth(r).alias("annual_return"),
         safe(F.avg(active), F.stddev_samp(active)).alias("info_ratio"),
         downside(r).alias("downside_risk"),
-        F.regr_r2(F.ln("value"), F.col("row").cast("double")).alias("r2"),
+        F.when(F.var_pop(F.ln("value")) > TINY, F.regr_r2(F.ln("value"), F.col("row").cast("double"))).alias("r2"),
         safe(F.sum(F.greatest(r, F.lit(0.0))), F.sum(F.greatest(-r, F.lit(0.0)))).alias("omega"),
         F.least(F.min("drawdown"), F.lit(0.0)).alias("max_down"),
         (F.product(1 + r) - 1).alias("total_return"),
