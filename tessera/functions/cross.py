@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import group_fits_task, input_bytes
+from tessera.session import group_fits_task, input_bytes, materialise
 
 DT = "dt"
 PIECES = 64  # value ranges a large date is split into
@@ -93,6 +93,9 @@ def add_ranks(
     small = group_fits_task(df) if small is None else small
     if small:
         return df.select("*", *[rank_pct(x, keys).alias(name) for name, x in columns.items()])
+    # Every rank reads its input several times. Ranks of ranks would multiply the plan level by
+    # level, so the input of a level is written once and each branch starts from that table.
+    df = materialise(df, "ranks")
     for name, x in columns.items():
         ranked = value_positions(df, x, keys).select(
             *keys, "_x", ((F.col("_less") + (F.col("_same") + 1) / 2.0) / F.col("_total")).alias(name)
@@ -152,7 +155,9 @@ def group_percentiles(
 def add_buckets(df: DataFrame, x: str, n: int, name: str, keys: Sequence[str] = (DT,)) -> DataFrame:
     """Quantile buckets 1..n: interpolated edges, duplicate edges dropped, first bucket closed left."""
     points = [i / n for i in range(n + 1)]
-    edges = group_percentiles(df, F.col(x), points, keys, "_edges").withColumn("_edges", F.array_distinct("_edges"))
+    small = group_fits_task(df)
+    df = df if small else materialise(df, "buckets")
+    edges = group_percentiles(df, F.col(x), points, keys, "_edges", small).withColumn("_edges", F.array_distinct("_edges"))
     kept = df.columns
     below = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(x))), F.lit(1))
     bucket = F.when(F.col(x).isNotNull() & (F.size("_edges") > 1), below)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,12 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.functions import windows as W
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the cluster's checkpoints; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tessera.session import scratch_path  # noqa: F401
 
 
 # -- factor store ---------------------------------------------------------------------------

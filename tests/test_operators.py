@@ -15,7 +15,7 @@ from tessera.operators import ledger as L
 from tessera.operators import performance as R
 from tessera.plans.catalogue import recipes
 from tessera.plans.staging import evaluate, formula_panel
-from tessera.session import GROUP_BYTES_KEY, checkpoint, input_bytes
+from tessera.session import GROUP_BYTES_KEY, input_bytes, materialise
 from tessera.sources import panel as src
 from tessera.sources import storage as st
 from tests.conftest import day
@@ -103,9 +103,10 @@ def test_prune_keeps_the_first_of_a_pair(spark):
     assert M.prune_features(df, ["a", "b", "c"]) == ["a", "c"]
 
 
-def test_checkpoint_keeps_the_rows(spark):
-    df = spark.range(5)
-    assert checkpoint(df).count() == 5
+def test_written_stage_keeps_the_rows_and_cuts_the_plan(spark):
+    df = materialise(spark.range(5).withColumn("x", F.col("id") * 2))
+    assert df.agg(F.sum("x")).first()[0] == 20
+    assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
 @pytest.mark.parametrize("catalogue", ["alpha101", "alpha191"])
