@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 # assumed to fit one task and the cross-section operators switch to their split form.
 GROUP_BYTES_KEY = "spark.tessera.maxGroupBytes"
 GROUP_BYTES_DEFAULT = 2 << 30
+CLEAN_SHUFFLE_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", name: str = "tessera") -> SparkSession:
@@ -42,13 +43,29 @@ def group_fits_task(df: DataFrame) -> bool:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the cluster's checkpoints; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """A fresh folder in the shared folder of ``spark.checkpoint.dir``.
+
+    Only a local session may do without that setting: there all tasks share the machine's disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut lineage by a written table: it outlives lost executors and is read back by column."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Cut lineage by a written table: it outlives lost executors and is read back by column.
+
+    The shuffle files of the write are removed with it, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEAN_SHUFFLE_KEY, "false")
+    spark.conf.set(CLEAN_SHUFFLE_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLE_KEY, before)
+    return spark.read.schema(df.schema).parquet(path)
