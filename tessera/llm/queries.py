@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.lm_scoring import lm_scores
 from tessera.llm.minhash import near_duplicates
+from tessera.llm.packing import pack
 from tessera.llm.transducer import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +40,8 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
