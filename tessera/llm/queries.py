@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.decontamination import contaminated
 from tessera.llm.lm_scoring import lm_scores
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
@@ -45,3 +46,8 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
