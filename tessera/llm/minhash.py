@@ -25,6 +25,7 @@ from tessera.session import materialise
 BLOCK = 4096
 COLUMNS = 4096
 BLOCK_SHINGLES = 300_000
+CELLS = 1_500_000  # table entries that one task writes
 
 
 def shingle_set(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -181,7 +182,8 @@ def near_duplicates(
     """
     sig = materialise(signatures(docs, width, groups, rows, text, key), "signatures")
     classes = materialise(sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    reps = sig.where("n_shingles > 0").join(classes, "set_key").where("id = rep").dropDuplicates(["rep"])
+    parts = max(1, -(-classes.count() * groups * groups // CELLS))
+    reps = sig.where("n_shingles > 0").join(classes, "set_key").where("id = rep").repartition(parts, "rep").dropDuplicates(["rep"])
     cells = "explode(flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(i, j, x, y)))))"
     keyed = reps.selectExpr("rep", f"{cells} as cell")
     shared = keyed.groupBy("cell").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
