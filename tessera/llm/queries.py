@@ -12,6 +12,7 @@ from tessera.llm.decontamination import contaminated
 from tessera.llm.lm_scoring import lm_scores
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.quality import quality_scores
 from tessera.llm.transducer import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,8 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
