@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 from tessera.llm.decontamination import contaminated
+from tessera.llm.language import detect_languages
 from tessera.llm.lm_scoring import lm_scores
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
@@ -57,3 +58,8 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_languages(table(spark, sf_dir, "documents"))
