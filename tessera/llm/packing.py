@@ -12,6 +12,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from tokenizers import Tokenizer
 from tessera.llm.common import filled
 from tessera.session import materialise
 
-PART_ROWS = 4000  # pieces of one length that one task ranks
+PART_ROWS = 800  # pieces of one length that one task ranks
 CACHE_PIECES = 600_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -39,9 +40,8 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         # With the odd characters out of the way, \w without digits and _ are the letters and \d the numbers.
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
-        kinds = {"Cn", "Nl", "No"}
-        odd = {chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in kinds}
-        self.odd = frozenset(odd | set("\x1c\x1d\x1e\x1fİΣ"))
+        self.odd = np.array([unicodedata.category(chr(c)) in ("Cn", "Nl", "No") for c in range(0x110000)])
+        self.odd[[ord(c) for c in "\x1c\x1d\x1e\x1fİΣ"]] = True
         self.marks = re.compile("|".join([r"[\x1c-\x1f]", *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]))
         self.known: dict[str, bytes] = {}
 
@@ -52,7 +52,7 @@ class WordTokenizer:
             plain = text.isascii()
             if not plain and not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            whole = self.marks.search(text) or not plain and not self.odd.isdisjoint(text)
+            whole = self.marks.search(text) or not plain and self.odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
             split.append(None if whole else self.split(text.lower()))
         if len(self.known) > CACHE_PIECES:
             self.known = {}
@@ -68,7 +68,13 @@ class WordTokenizer:
         return out
 
 
-BATCH_CHARS = 1 << 21
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker, so that pieces are encoded once per worker."""
+    return WordTokenizer(path)
+
+
+BATCH_CHARS = 1 << 20
 
 
 def pieces_of(docs: DataFrame, path: str, limit: int, end_id: int, with_ids: bool, text: str, key: str) -> DataFrame:
@@ -77,7 +83,7 @@ def pieces_of(docs: DataFrame, path: str, limit: int, end_id: int, with_ids: boo
     step = 4 * limit
 
     def cut(batches):
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             at = size = 0
