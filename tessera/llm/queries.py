@@ -15,6 +15,7 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
 from tessera.llm.transducer import token_counts
+from tessera.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +64,8 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
