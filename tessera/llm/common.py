@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tessera.session import materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+BLOOM_BITS = 27
 SHIFT_A, SHIFT_B = np.uint64(31), np.uint64(29)
 
 
@@ -52,6 +54,37 @@ def joined(chunked):
     return chunked.combine_chunks() if chunked.num_chunks != 1 else chunked.chunk(0)
 
 
+def bits_of(numbers: DataFrame) -> np.ndarray:
+    """Bloom bitset, 16 MB whatever the input, of the only column, a long.
+
+    Each task sends the bytes it sets, combined before they are shuffled, so no list of the numbers reaches the driver.
+    The more numbers it holds, the less it rules out; readers confirm by an exact join.
+    """
+
+    def fold(batches):
+        for batch in batches:
+            at = np.unique(_bit(batch.column(0).to_numpy(zero_copy_only=False)))
+            byte, first = np.unique(at >> 3, return_index=True)
+            value = np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first) if len(at) else np.empty(0, np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(value.astype(np.int64))], names=["byte", "value"])
+
+    bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+    known = numbers.where(F.col(numbers.columns[0]).isNotNull())
+    folded = known.mapInArrow(fold, "byte long, value long").groupBy("byte").agg(F.bit_or("value").alias("value"))
+    for row in folded.toLocalIterator():
+        bits[row.byte] = row.value
+    return bits
+
+
+def in_bits(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    at = _bit(numbers)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _bit(numbers: np.ndarray) -> np.ndarray:
+    return (mixed(numbers.view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+
+
 def hash_part(n: int, *columns: str) -> Column:
     """Which of n even parts a row belongs to: a pure function of the row."""
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")

@@ -16,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filled, mixed, ragged
+from tessera.llm.common import bits_of, filled, in_bits, mixed, ragged
 from tessera.session import materialise
 
-BITS = 27  # of the bitset: 16 MB
 MATCH, MISMATCH, GAP = 2, -1, -1
 LANES = 512  # windows aligned in lockstep
 
@@ -70,31 +69,13 @@ def item_grams(items: DataFrame, width: int) -> DataFrame:
     return items.mapInArrow(expand, "item_id long, gram long, pos long, n_words long")
 
 
-def gram_bits(benchmark: DataFrame) -> np.ndarray:
-    """Bitset of the n-grams: each task sends the bytes it sets, so no list of n-grams reaches the driver."""
-
-    def fold(batches):
-        for batch in batches:
-            h = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-            byte, first = np.unique(h >> 3, return_index=True)
-            value = np.bitwise_or.reduceat((1 << (h & 7)).astype(np.uint8), first) if len(h) else np.empty(0, np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(value.astype(np.int64))], names=["byte", "value"])
-
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    folded = benchmark.select("gram").mapInArrow(fold, "byte long, value long").groupBy("byte").agg(F.bit_or("value").alias("value"))
-    for row in folded.toLocalIterator():
-        bits[row.byte] = row.value
-    return bits
-
-
 def hits_of(docs: DataFrame, bits, width: int) -> DataFrame:
     """(doc_id, gram, pos) of the n-grams that may be in the benchmark."""
 
     def find(batches):
         for batch in batches:
             owner, position, h = runs(batch.column(1), width)
-            at = (h.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-            met = np.flatnonzero((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            met = np.flatnonzero(in_bits(bits.value, h))
             ids = batch.column(0).take(pa.array(owner[met]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(h[met]), pa.array(position[met], pa.int64())], names=["doc_id", "gram", "pos"])
 
@@ -163,7 +144,7 @@ def contaminated(
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text")).alias("words"))
     items = items.where("item_id is not null and size(words) > 0").dropDuplicates(["item_id", "words"])
     known = materialise(item_grams(items.select("item_id", "words"), width), "grams")
-    bits = spark.sparkContext.broadcast(gram_bits(known))
+    bits = spark.sparkContext.broadcast(bits_of(known.select("gram")))
     hits = materialise(hits_of(read, bits, width), "hits")
 
     # Document frequencies of benchmark n-grams, combined per document before anything is shuffled by n-gram.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, joined, mixed, ragged, word_hashes
+from tessera.llm.common import bits_of, components, in_bits, joined, mixed, ragged, word_hashes
 from tessera.session import materialise
 
 BLOCK = 4096
@@ -81,16 +81,24 @@ def sets_of(docs: DataFrame, candidates: DataFrame, width: int, text: str, key:
 
     def expand(batches):
         for batch in batches:
-            values, offsets = ragged(batch.column(2))
+            values, offsets = ragged(batch.column(1))
             found = [shingle_set(values[s:e], width).view(np.int64) for s, e in zip(offsets[:-1], offsets[1:])]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "grp", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "s"])
+
+    # A bitset of fixed size rules out most other texts before they are split; the join is exact.
+    bits = docs.sparkSession.sparkContext.broadcast(bits_of(candidates.select("id")))
+
+    def choose(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bits(bits.value, batch.column(0).to_numpy())))
 
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).join(candidates, "id")
-    read = wanted.select("id", F.col("component").alias("grp"), word_hashes(F.col("_text")).alias("t"))
-    return read.mapInArrow(expand, "id long, grp long, s array<long>")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    chosen = texts.mapInArrow(choose, "id long, text string").select("id", word_hashes(F.col("text")).alias("t"))
+    sets = chosen.mapInArrow(expand, "id long, s array<long>")
+    return sets.join(candidates.select("id", F.col("component").alias("grp")), "id")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
