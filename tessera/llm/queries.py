@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.decontamination import contaminated
@@ -14,7 +15,9 @@ from tessera.llm.lm_scoring import lm_scores
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
+from tessera.llm.revisits import CHECK_SQL, captures, header_text, resolve_revisits
 from tessera.llm.transducer import token_counts
+from tessera.llm.url_templates import check_sql, judge_urls
 from tessera.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +72,15 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_near_dedup")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_warc_revisits", CHECK_SQL)
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", header_text(F.col("headers")))
+
+
+@query("op9_url_filters", check_sql())
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.withColumn("purity", F.round("purity", 9))
