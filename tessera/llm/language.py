@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import filled
 
 SPECTRUM = (2, 3, 4)
-BITS = 20  # n-grams are told apart by so many bits of their hash
+BITS = 18  # n-grams are told apart by so many bits of their hash
 SLOTS = 1 << BITS
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BATCH_BYTES = 1 << 20
-LANDMARKS, EXAMPLES = 48, 250  # of each language
+LANDMARKS = 128  # over all languages, but FEWEST of each at least
+FEWEST = 4
+EXAMPLES = 250  # of each language
 RIDGE = 1e-3
 SHARPNESS = 8.0  # of the softmax that turns regression values into scores
 
@@ -76,13 +78,17 @@ def fit(samples: list[tuple[np.ndarray, str]]) -> tuple[list[str], np.ndarray]:
     sizes = np.array([max(1, len(s)) for s, _ in samples], float)
     chosen, taken = [], dict.fromkeys(langs, 0)
     for i, (_, lang) in enumerate(samples):
-        if taken[lang] < LANDMARKS:
+        if taken[lang] < max(FEWEST, LANDMARKS // len(langs)):
             taken[lang] += 1
             chosen.append(i)
-    marks = np.zeros((SLOTS, len(chosen)), np.float32)
+    # Only n-grams of landmarks have rows; the last row, of zeros, stands for all others.
+    used = np.unique(np.concatenate([samples[i][0] for i in chosen]))
+    place = np.full(SLOTS, len(used))
+    place[used] = np.arange(len(used))
+    marks = np.zeros((len(used) + 1, len(chosen)), np.float32)
     for j, i in enumerate(chosen):
-        marks[samples[i][0], j] = 1 / np.sqrt(sizes[i])
-    kernel = np.array([marks[s].sum(axis=0) / np.sqrt(n) for (s, _), n in zip(samples, sizes)], float)
+        marks[place[samples[i][0]], j] = 1 / np.sqrt(sizes[i])
+    kernel = np.array([marks[place[s]].sum(axis=0) / np.sqrt(n) for (s, _), n in zip(samples, sizes)], float)
     values, vectors = np.linalg.eigh(kernel[chosen])
     root = vectors * np.where(values > 1e-8 * values.max(), np.maximum(values, 1e-12) ** -0.5, 0)
     features = np.column_stack([kernel @ root, np.ones(len(samples))])
@@ -93,7 +99,10 @@ def fit(samples: list[tuple[np.ndarray, str]]) -> tuple[list[str], np.ndarray]:
     penalty[-1, -1] = 0
     a = (features * weight[:, None]).T @ features + penalty * weight.sum()
     w = np.linalg.lstsq(a, (features * weight[:, None]).T @ target, rcond=None)[0]
-    return langs, np.vstack([marks @ (root @ w[:-1]).astype(np.float32), w[-1:]]).astype(np.float32)
+    folded = np.zeros((SLOTS + 1, len(langs)), np.float32)
+    folded[used] = marks[:-1] @ (root @ w[:-1]).astype(np.float32)
+    folded[-1] = w[-1]
+    return langs, folded
 
 
 def detect_languages(
@@ -102,7 +111,7 @@ def detect_languages(
     """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
 
     Learns from text and non-null lang of rows where ``held_out`` is not true (null counts as not true): about
-    EXAMPLES texts with letters of each language, chosen by a hash, of which LANDMARKS are landmarks; only their
+    EXAMPLES texts with letters of each language, chosen by a hash, of which about LANDMARKS in all are landmarks; only their
     n-gram slots reach the driver. A null text or one without letters is ``und`` with score 0, and so are all where
     no language could be learned. Otherwise score is the softmax weight of the predicted language, ties going to the
     first by name. Whole texts are read; repeated rows are returned as they come; other columns are not read.
