@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import filled
@@ -105,21 +105,35 @@ def fit(samples: list[tuple[np.ndarray, str]]) -> tuple[list[str], np.ndarray]:
     return langs, folded
 
 
-def detect_languages(
-    docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 0", text: str = "text", key: str = "doc_id"
-) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
-
-    Learns from text and non-null lang of rows where ``held_out`` is not true (null counts as not true): about
-    EXAMPLES texts with letters of each language, chosen by a hash, of which about LANDMARKS in all are landmarks; only their
-    n-gram slots reach the driver. A null text or one without letters is ``und`` with score 0, and so are all where
-    no language could be learned. Otherwise score is the softmax weight of the predicted language, ties going to the
-    first by name. Whole texts are read; repeated rows are returned as they come; other columns are not read.
-    """
+def lettered(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
+def predicted(texts: list[str], lettered: np.ndarray, langs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of each text's language (len(langs) for none) and its score, a batch of texts at a time."""
+    found = Presence()
+    best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
+    size, part, rows = 0, [], []
+    for i, x in enumerate(texts):
+        if lettered[i] and langs:
+            part.append(x.encode())
+            rows.append(i)
+            size += len(part[-1])
+        if part and (size >= BATCH_BYTES or i + 1 == len(texts)):
+            slots, cuts = found.rows(part)
+            value = np.add.reduceat(weights[slots], cuts[:-1], axis=0) / np.sqrt(np.diff(cuts))[:, None] + weights[-1]
+            power = np.exp(SHARPNESS * (value - value.max(axis=1, keepdims=True)))
+            best[rows] = value.argmax(axis=1)
+            score[rows] = power.max(axis=1) / power.sum(axis=1)
+            size, part, rows = 0, [], []
+    return best, score
+
+
+def _fitted(docs: DataFrame, held_out: str, text: str):
+    """Languages and the broadcast of the folded matrix."""
     spark = docs.sparkSession
     held = F.coalesce(F.expr(held_out), F.lit(False))
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    known = docs.where(~held & F.col("lang").isNotNull() & lettered).select(F.col("lang").cast("string").alias("lang"), filled(F.col(text)).alias("text"))
+    known = docs.where(~held & F.col("lang").isNotNull() & lettered(text)).select(F.col("lang").cast("string").alias("lang"), filled(F.col(text)).alias("text"))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     limits = spark.createDataFrame([(lang, min(1 << 30, int(2 * EXAMPLES / n * (1 << 30)))) for lang, n in counts.items()], "lang string, most long")
@@ -141,30 +155,45 @@ def detect_languages(
             taken[r[1]] += 1
             examples.append((np.frombuffer(r[2], "<u4").astype(np.int64), r[1]))
     langs, matrix = fit(examples)
-    model = spark.sparkContext.broadcast(matrix)
+    return langs, spark.sparkContext.broadcast(matrix)
+
+
+def detect_languages(
+    docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 0", text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
+
+    Learns from text and non-null lang of rows where ``held_out`` is not true (null counts as not true): about
+    EXAMPLES texts with letters of each language, chosen by a hash, of which about LANDMARKS in all are landmarks; only their
+    n-gram slots reach the driver. A null text or one without letters is ``und`` with score 0, and so are all where
+    no language could be learned. Otherwise score is the softmax weight of the predicted language, ties going to the
+    first by name. Whole texts are read; repeated rows are returned as they come; other columns are not read.
+    """
+    langs, model = _fitted(docs, held_out, text)
     names = np.array([*langs, "und"])
 
     def predict(batches):
-        found, weights = Presence(), model.value
         for batch in batches:
-            texts, lettered = batch.column(2).to_pylist(), batch.column(3).to_numpy(zero_copy_only=False)
-            best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
-            size = 0
-            part, rows = [], []
-            for i, x in enumerate(texts):
-                if lettered[i] and langs:
-                    part.append(x.encode())
-                    rows.append(i)
-                    size += len(part[-1])
-                if part and (size >= BATCH_BYTES or i + 1 == len(texts)):
-                    slots, cuts = found.rows(part)
-                    value = np.add.reduceat(weights[slots], cuts[:-1], axis=0) / np.sqrt(np.diff(cuts))[:, None] + weights[-1]
-                    power = np.exp(SHARPNESS * (value - value.max(axis=1, keepdims=True)))
-                    best[rows] = value.argmax(axis=1)
-                    score[rows] = power.max(axis=1) / power.sum(axis=1)
-                    size, part, rows = 0, [], []
+            best, score = predicted(batch.column(2).to_pylist(), batch.column(3).to_numpy(zero_copy_only=False), langs, model.value)
             arrays = [batch.column(0), batch.column(1), pa.array(names[best].astype(object), pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score"])
 
-    inputs = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), filled(F.col(text)).alias("text"), lettered.alias("lettered"))
+    held = F.coalesce(F.expr(held_out), F.lit(False))
+    inputs = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), filled(F.col(text)).alias("text"), lettered(text).alias("lettered"))
     return inputs.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.35, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 0", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is not ``und`` and scores ``least`` or more."""
+    langs, model = _fitted(docs, held_out, text)
+    names = docs.columns
+    own = [f"own_{i}" for i in range(len(names))]  # out of the way of clashing names
+
+    def choose(batches):
+        for batch in batches:
+            best, score = predicted(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), langs, model.value)
+            rows = batch.filter(pa.array((best < len(langs)) & (score >= least)))
+            yield pa.RecordBatch.from_arrays(rows.columns[2:], names=names)
+
+    inputs = docs.select(filled(F.col(text)).alias("text"), lettered(text).alias("lettered"), *[F.col(c).alias(o) for c, o in zip(docs.columns, own)])
+    return inputs.mapInArrow(choose, docs.schema)

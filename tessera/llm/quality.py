@@ -205,18 +205,8 @@ def _features(batch):
         yield slots, content_features(raw, e - s, counts), layout_features(raw, e - s, n_chars), tag_slots(source, lang)
 
 
-def quality_scores(
-    docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelled: int = 4000, text: str = "text", key: str = "doc_id"
-) -> DataFrame:
-    """(doc_id, score, content_score, metadata_score, toxic_score, accepted) for every row of ``docs``.
-
-    ``labels`` (doc_id, quality, toxic) names known documents; several rows of one id count as one, with the lower
-    quality and the higher toxicity, and null marks are unknown. score is the probability of quality 1 and
-    toxic_score that of toxic 1, fitted alike; accepted means score >= 0.5 and toxic_score < 0.5. A mark without
-    eight examples of both kinds among the labelled cannot be learned: score is then the labelled mean (1 for
-    quality and 0 for toxicity without any). Null and empty texts are scored as texts of no words. Repeated rows
-    get their row each; other columns are not read.
-    """
+def _fitted(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int, text: str, key: str):
+    """Broadcast of the quality and the toxicity model."""
     spark = docs.sparkSession
     marks = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id"))
     marks = marks.agg(F.min(F.col("quality").cast("double")).alias("quality"), F.max(F.col("toxic").cast("double")).alias("toxic"))
@@ -245,7 +235,22 @@ def quality_scores(
     fitted = [co_train(rows, y["quality"]), co_train(rows, y["toxic"])]
     if not fitted[1].ready and not (~np.isnan(y["toxic"])).any():
         fitted[1].base = 0.0
-    models = spark.sparkContext.broadcast(fitted)
+    return spark.sparkContext.broadcast(fitted)
+
+
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelled: int = 4000, text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """(doc_id, score, content_score, metadata_score, toxic_score, accepted) for every row of ``docs``.
+
+    ``labels`` (doc_id, quality, toxic) names known documents; several rows of one id count as one, with the lower
+    quality and the higher toxicity, and null marks are unknown. score is the probability of quality 1 and
+    toxic_score that of toxic 1, fitted alike; accepted means score >= 0.5 and toxic_score < 0.5. A mark without
+    eight examples of both kinds among the labelled cannot be learned: score is then the labelled mean (1 for
+    quality and 0 for toxicity without any). Null and empty texts are scored as texts of no words. Repeated rows
+    get their row each; other columns are not read.
+    """
+    models = _fitted(docs, labels, labelled, unlabelled, text, key)
 
     def score(batches):
         quality, toxic = models.value
@@ -257,3 +262,19 @@ def quality_scores(
 
     out = "doc_id long, score double, content_score double, metadata_score double, toxic_score double, accepted boolean"
     return _inputs(docs, text, key).mapInArrow(score, out)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelled: int = 4000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`quality_scores` accepts."""
+    models = _fitted(docs, labels, labelled, unlabelled, text, key)
+    names = docs.columns
+    own = [f"own_{i}" for i in range(len(names))]  # out of the way of clashing names
+
+    def choose(batches):
+        quality, toxic = models.value
+        for batch in batches:
+            keep = [quality.score(*f)[0] >= 0.5 and toxic.score(*f)[0] < 0.5 for f in _features(batch)]
+            rows = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in own], names=names)
+
+    return _inputs(docs, text, key, *[F.col(c).alias(o) for c, o in zip(docs.columns, own)]).mapInArrow(choose, docs.schema)
