@@ -135,7 +135,7 @@ def contaminated(
     of the item's own 2 * words; rows have score >= ``threshold``. first_word and last_word delimit the passage in
     the document's words. An item's seeds are its rarest ``width``-word runs by document frequency: ``rare_share`` of
     them and ``least_seeds`` at least, ties by hash. A window needs ``least_hits`` seeds near one diagonal, or all
-    seeds of an item that has fewer. Null, empty and blank texts, on either side, match nothing; rows
+    seeds of an item that has fewer; an item of fewer words than ``width`` is only found as a whole text. Null, empty and blank texts, on either side, match nothing; rows
     without an id are left out. Repeated ids are one document whose texts are all searched, repeated items are
     one item. Other columns are not read; an empty side gives no rows.
     """
