@@ -1,11 +1,10 @@
 """Cross-section operators (partition = date).
 
-A date holds every traded code, so unlike a code's history its size grows with the data.
-Each operator therefore has two forms behind one size check (:func:`group_fits_task`):
-
-* small inputs: a window per date, one exchange;
-* large inputs: statistics by partial aggregation and an equi-join, and ranks from value
-  counts that are split into value ranges, so no task ever holds a whole date.
+A date holds every traded code, so unlike a code's history its size grows with the data and no task
+may hold a whole date. Statistics are partial aggregates joined back. Ranks and percentiles come from
+value counts: equal values are combined before the exchange, values are cut into classes by their
+leading bits, and a value's place is its place inside the class plus the counts of the classes below.
+The classes are a pure function of the value, so nothing is sampled and a lost task cuts them the same way again.
 """
 
 from __future__ import annotations
@@ -15,94 +14,56 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import group_fits_task, input_bytes, materialise
-
 DT = "dt"
-PIECES = 64  # value ranges a large date is split into
-SAMPLE_BYTES = 16 << 20  # about one sampled splitter candidate per this many input bytes
+FINE = 512  # classes between a power of two and the next
 
 
-def group_stats(
-    df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], small: bool | None = None
-) -> DataFrame:
+def group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Append per-group aggregates to every row."""
-    small = group_fits_task(df) if small is None else small
-    if small:
-        w = Window.partitionBy(*keys)
-        return df.select("*", *[v.over(w).alias(k) for k, v in stats.items()])
     totals = df.groupBy(*keys).agg(*[v.alias(k) for k, v in stats.items()])
+    if not keys:
+        return df.join(F.broadcast(totals)).select(*df.columns, *stats)  # one row
     return df.join(totals, list(keys), "left").select(*df.columns, *stats)
 
 
-def _value_counts(df: DataFrame, x: Column, keys: Sequence[str]) -> DataFrame:
-    return (
-        df.select(*keys, x.alias("_x"))
-        .where("_x is not null")
-        .groupBy(*keys, "_x")
-        .agg(F.count(F.lit(1)).alias("_same"))
-    )
-
+def value_class(x: Column) -> Column:
+    """Class of a number by sign, exponent and leading bits: never falls as the number grows."""
+    size = F.abs(x.cast("double"))
+    exponent = F.floor(F.log2(size))
+    step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * FINE)
+    return F.when(size == 0, F.lit(0)).otherwise(F.signum(x.cast("double")) * ((exponent + 1100) * FINE + step + 1)).cast("long")
 
-def value_positions(df: DataFrame, x: Column, keys: Sequence[str] = (DT,)) -> DataFrame:
-    """One row per (keys, distinct value): its count, how many are smaller, group total.
 
-    Splitters are exact percentiles of a hash-chosen subset of the values. The subset only
-    decides where a group is cut, and being a pure function of the data it cuts the same way
-    when a lost task is run again; the counts themselves cover every row.
-    """
+def value_positions(values: DataFrame, keys: Sequence[str] = (DT,), x: str = "_x") -> DataFrame:
+    """One row per (keys, distinct value of ``x``): its count, how many are smaller, group total."""
     keys = list(keys)
-    every = max(1, input_bytes(df) // SAMPLE_BYTES)
-    counts = _value_counts(df, x, keys)
-    cuts = [i / PIECES for i in range(1, PIECES)]
-    edges = (
-        counts.where(F.pmod(F.xxhash64(*keys, "_x"), F.lit(every)) == 0)
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile("_x", F.array(*map(F.lit, cuts)))).alias("_edges"))
-    )
-    piece = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("_x"))), F.lit(0))
-    pieces = counts.join(edges, keys, "left").select(*keys, "_x", "_same", piece.alias("_piece"))
-    before = (
-        pieces.groupBy(*keys, "_piece")
-        .agg(F.sum("_same").alias("_n"))
-        .select(
-            *keys,
-            "_piece",
-            (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_piece")) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
-        )
-    )
-    inside = Window.partitionBy(*keys, "_piece").orderBy("_x")
-    local = pieces.withColumn("_less", F.sum("_same").over(inside) - F.col("_same"))
-    return local.join(before, [*keys, "_piece"]).select(
-        *keys, "_x", "_same", (F.col("_less") + F.col("_before")).alias("_less"), "_total"
+    counts = values.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_same"))
+    counts = counts.withColumn("_class", value_class(F.col(x)))
+    upto = Window.partitionBy(*keys).orderBy("_class")
+    sums = counts.groupBy(*keys, "_class").agg(F.sum("_same").alias("_n"))
+    below = sums.select(
+        *keys, "_class", (F.sum("_n").over(upto) - F.col("_n")).alias("_below"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total")
     )
+    inside = Window.partitionBy(*keys, "_class").orderBy(x)
+    local = counts.withColumn("_inside", F.sum("_same").over(inside) - F.col("_same"))
+    return local.join(below, [*keys, "_class"]).select(*keys, x, "_same", (F.col("_inside") + F.col("_below")).alias("_less"), "_total")
+
 
+def add_ranks(df: DataFrame, columns: Mapping[str, Column], keys: Sequence[str] = (DT,), row: Sequence[str] = ("code", DT)) -> DataFrame:
+    """Append percentile ranks (average ties) of each column inside its group; NULL stays NULL.
 
-def rank_pct(x: Column, keys: Sequence[str] = (DT,)) -> Column:
-    """Window form of the average-tie percentile rank; NULL stays NULL."""
-    ordered = Window.partitionBy(*keys).orderBy(x.asc_nulls_last())
-    peers = F.count(x).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
-    place = F.rank().over(ordered) + (peers - 1) / 2.0
-    return F.when(x.isNotNull(), F.try_divide(place, F.count(x).over(Window.partitionBy(*keys)).cast("double")))
-
-
-def add_ranks(
-    df: DataFrame, columns: Mapping[str, Column], keys: Sequence[str] = (DT,), small: bool | None = None
-) -> DataFrame:
-    """Append percentile ranks (average ties) of each column inside its group."""
-    small = group_fits_task(df) if small is None else small
-    if small:
-        return df.select("*", *[rank_pct(x, keys).alias(name) for name, x in columns.items()])
-    # Every rank reads its input several times. Ranks of ranks would multiply the plan level by
-    # level, so the input of a level is written once and each branch starts from that table.
-    df = materialise(df, "ranks")
-    for name, x in columns.items():
-        ranked = value_positions(df, x, keys).select(
-            *keys, "_x", ((F.col("_less") + (F.col("_same") + 1) / 2.0) / F.col("_total")).alias(name)
-        )
-        kept = df.columns
-        df = df.withColumn("_x", x).join(ranked, [*keys, "_x"], "left").select(*kept, name)
-    return df
+    ``row`` names the columns that tell rows apart. All columns asked for are ranked together, in one long table of
+    (row, column number, value), and come back in one join.
+    """
+    names, row = list(columns), list(dict.fromkeys([*row, *keys]))
+    entries = [F.struct(F.lit(i).alias("i"), columns[n].cast("double").alias("x")) for i, n in enumerate(names)]
+    long = df.select(*row, F.explode(F.filter(F.array(*entries), lambda e: e["x"].isNotNull())).alias("e"))
+    long = long.select(*row, F.col("e.i").alias("_i"), F.col("e.x").alias("_x"))
+    group = ["_i", *keys]
+    share = (F.col("_less") + (F.col("_same") + 1) / 2.0) / F.col("_total")
+    placed = long.join(value_positions(long, group).select(*group, "_x", share.alias("_rank")), [*group, "_x"])
+    wide = placed.groupBy(*row).agg(*[F.max(F.when(F.col("_i") == i, F.col("_rank"))).alias(n) for i, n in enumerate(names)])
+    return df.join(wide, row, "left").select(*df.columns, *names)
 
 
 def add_zscore(df: DataFrame, x: str, name: str, keys: Sequence[str] = (DT,), population: bool = False) -> DataFrame:
@@ -128,36 +89,28 @@ def add_cs_scale(df: DataFrame, x: str, name: str, keys: Sequence[str] = (DT,))
     return out.select(*kept, F.try_divide(F.col(x), F.col("_abs")).alias(name))
 
 
-def group_percentiles(
-    df: DataFrame, x: Column, points: Sequence[float], keys: Sequence[str], name: str, small: bool | None = None
-) -> DataFrame:
-    """Exact linear-interpolated percentiles per group as one array column."""
-    small = group_fits_task(df) if small is None else small
-    if small:
-        at = F.percentile(x, F.array(*map(F.lit, points)))
-        return df.groupBy(*keys).agg(at.alias(name))
-    # The value at index k is the largest one with at most k smaller rows: a plain maximum,
-    # combined on the map side, instead of a percentile buffer with every value of the group.
+def group_percentiles(df: DataFrame, x: Column, points: Sequence[float], keys: Sequence[str], name: str) -> DataFrame:
+    """Exact linear-interpolated percentiles per group as one array column.
+
+    The value at index k is the largest one with at most k smaller rows: a plain maximum, combined on the map side.
+    """
     index = [F.lit(p) * (F.col("_total") - 1) for p in points]
     lower = [F.max(F.when(F.col("_less") <= F.floor(i), F.col("_x"))) for i in index]
     upper = [F.max(F.when(F.col("_less") <= F.ceil(i), F.col("_x"))) for i in index]
-    found = value_positions(df, x, keys).groupBy(*keys).agg(
+    found = value_positions(df.select(*keys, x.alias("_x")), keys).groupBy(*keys).agg(
         F.max("_total").alias("_total"), F.array(*lower).alias("_lo"), F.array(*upper).alias("_hi")
     )
     parts = []
-    for j, p in enumerate(points):
-        i = F.lit(p) * (F.col("_total") - 1)
+    for j, i in enumerate(index):
         lo, hi = F.get("_lo", F.lit(j)), F.get("_hi", F.lit(j))
-        parts.append(lo + (hi - lo) * (i - F.floor(i)))
+        parts.append(F.when(lo == hi, lo).otherwise((F.ceil(i) - i) * lo + (i - F.floor(i)) * hi))
     return found.select(*keys, F.array(*parts).alias(name))
 
 
 def add_buckets(df: DataFrame, x: str, n: int, name: str, keys: Sequence[str] = (DT,)) -> DataFrame:
     """Quantile buckets 1..n: interpolated edges, duplicate edges dropped, first bucket closed left."""
     points = [i / n for i in range(n + 1)]
-    small = group_fits_task(df)
-    df = df if small else materialise(df, "buckets")
-    edges = group_percentiles(df, F.col(x), points, keys, "_edges", small).withColumn("_edges", F.array_distinct("_edges"))
+    edges = group_percentiles(df, F.col(x), points, keys, "_edges").withColumn("_edges", F.array_distinct("_edges"))
     kept = df.columns
     below = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(x))), F.lit(1))
     bucket = F.when(F.col(x).isNotNull() & (F.size("_edges") > 1), below)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.functions import windows as W
 from tessera.functions.cross import add_ranks
-from tessera.session import group_fits_task
+from tessera.session import materialise
 
 
 class Term:
@@ -257,7 +257,6 @@ class FormulaFrame:
 
     # -- plan --------------------------------------------------------------------
     def select(self, outputs: Mapping[str, Term]) -> DataFrame:
-        small = group_fits_task(self.panel)
         df = self.panel.withColumn("_length", W.history_length())
         for level in sorted(self.levels):
             columns = self.levels[level]
@@ -266,7 +265,8 @@ class FormulaFrame:
                 df = df.select("*", *[v.alias(k) for k, v in self.parts[level].items()])
                 df = df.select(*known, *[v.alias(k) for k, v in columns.items()])
             else:
-                df = add_ranks(df, columns, small=small)
+                # Ranks read their input several times; ranks of ranks would multiply that level by level.
+                df = add_ranks(materialise(df, "level"), columns)
         return df.select("code", "dt", *[S.clean(self.number(t)).alias(k) for k, t in outputs.items()])
 
 

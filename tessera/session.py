@@ -1,4 +1,4 @@
-"""Session settings and the few size checks the operators share."""
+"""Session settings, the shared scratch folder and written stages."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Above this many input bytes a date (or any other data-sized group) is no longer
-# assumed to fit one task and the cross-section operators switch to their split form.
-GROUP_BYTES_KEY = "spark.tessera.maxGroupBytes"
-GROUP_BYTES_DEFAULT = 2 << 30
 CLEAN_SHUFFLE_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,18 +26,6 @@ def local_session(cores: str = "8", name: str = "tessera") -> SparkSession:
     )
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the relations a plan reads: an upper bound for any group in it."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def group_fits_task(df: DataFrame) -> bool:
-    """True when the whole input is small enough that any single group fits one task."""
-    limit = int(df.sparkSession.conf.get(GROUP_BYTES_KEY, str(GROUP_BYTES_DEFAULT)))
-    return input_bytes(df) <= limit
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared folder of ``spark.checkpoint.dir``.
 

@@ -1,4 +1,4 @@
-"""Cross-section operators: direct loops, and the split form against the window form."""
+"""Cross-section operators against direct loops."""
 
 import random
 
@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import cross as X
-from tessera.session import GROUP_BYTES_KEY
 from tests.conftest import day
 
 
@@ -24,13 +23,6 @@ def panel(spark):
     return spark.createDataFrame(rows, "code long, dt date, x double")
 
 
-@pytest.fixture()
-def split_form(spark):
-    spark.conf.set(GROUP_BYTES_KEY, "0")
-    yield
-    spark.conf.unset(GROUP_BYTES_KEY)
-
-
 def by_date(panel):
     groups = {}
     for r in panel.collect():
@@ -55,12 +47,25 @@ def assert_ranks(panel):
         assert all((got[dt][k] is None and v is None) or abs(got[dt][k] - v) < 1e-12 for k, v in want.items())
 
 
-def test_rank_window_form(panel):
+def test_ranks(panel):
     assert_ranks(panel)
 
 
-def test_rank_split_form(panel, split_form):
-    assert_ranks(panel)
+def test_ranks_of_several_columns(panel):
+    both = X.add_ranks(panel, {"up": F.col("x"), "down": -F.col("x")})
+    for r in both.collect():
+        if r.x is not None:
+            n = both.where((F.col("dt") == F.lit(r.dt)) & F.col("x").isNotNull()).count() if r.code == 5 else None
+            assert n is None or abs(r.up + r.down - 1 - 1 / n) < 1e-9
+        else:
+            assert r.up is None and r.down is None
+
+
+def test_value_classes_follow_the_order(spark):
+    rng = random.Random(9)
+    values = sorted({0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, *(rng.choice([-1, 1]) * 2.0 ** rng.uniform(-60, 60) for _ in range(2000)), *(2.0**k for k in range(-40, 40)), *(2.0**k * (1 - 2**-53) for k in range(-40, 40))})
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", X.value_class(F.col("x")).alias("k")).orderBy("x").collect()
+    assert [r.k for r in got] == sorted(r.k for r in got)
 
 
 def assert_buckets(panel, n):
@@ -76,26 +81,19 @@ def assert_buckets(panel, n):
             assert got[dt][code] == want, (dt, code, v, edges)
 
 
-def test_buckets_window_form(panel):
-    assert_buckets(panel, 5)
-
-
-def test_buckets_split_form(panel, split_form):
+def test_buckets(panel):
     assert_buckets(panel, 5)
 
 
 @pytest.mark.parametrize("population", [True, False])
-def test_zscore_forms_agree(spark, panel, population):
-    small = X.add_zscore(panel, "x", "v", population=population).select("code", "dt", F.round("v", 9).alias("v"))
-    small = {(r.code, r.dt): r.v for r in small.collect()}
-    spark.conf.set(GROUP_BYTES_KEY, "0")
-    try:
-        large = X.add_zscore(panel, "x", "v", population=population).select("code", "dt", F.round("v", 9).alias("v"))
-        large = {(r.code, r.dt): r.v for r in large.collect()}
-    finally:
-        spark.conf.unset(GROUP_BYTES_KEY)
-    assert small.keys() == large.keys()
-    assert all((a is None) == (large[k] is None) and (a is None or abs(a - large[k]) < 1e-8) for k, a in small.items())
+def test_zscore(panel, population):
+    got = by_date(X.add_zscore(panel, "x", "v", population=population).select("code", "dt", F.col("v").alias("x")))
+    for dt, values in by_date(panel).items():
+        have = np.array([v for v in values.values() if v is not None])
+        spread = have.std(ddof=0 if population else 1) if len(have) > 1 else 0
+        for code, v in values.items():
+            want = None if v is None else ((v - have.mean()) / spread if spread > 1e-12 else 0.0)
+            assert (got[dt][code] is None) == (want is None) and (want is None or abs(got[dt][code] - want) < 1e-8)
 
 
 def test_rank_bounds(panel):
