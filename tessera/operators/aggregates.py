@@ -33,14 +33,22 @@ def day_bucket(df: DataFrame, days: int = 120) -> Column:
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise correlations in one aggregation, as (a, b, corr) rows.
+    """Pairwise correlations over rows that have both values, as (a, b, corr) rows with a before b.
 
-    Pairs are of columns (a fixed, small set), never of rows.
+    Every row adds its products to one array of sums per column, combined on the map side: the plan has one
+    aggregate whatever the number of columns, and what is shuffled is (columns)^2 numbers per task. Columns are
+    centred on their means first, so that large levels cost no digits.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
-    return one.select(F.inline(F.array(*cells)))
+    k = len(columns)
+    means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    centred = df.join(F.broadcast(means)).select(*[(F.col(c) - F.col(f"_m{i}")).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])  # one row
+    vector = F.array(*[F.col(f"_v{i}") for i in range(k)])
+    cells = centred.select(F.posexplode(vector).alias("i", "x"), vector.alias("v")).where("x is not null")
+    cells = cells.select("i", "x", F.posexplode("v").alias("j", "y")).where("y is not null and j >= i")
+    sums = cells.groupBy("i", "j").agg(pearson(F.col("x"), F.col("y")).alias("corr"))
+    names = F.array(*map(F.lit, columns))
+    every = df.sparkSession.range(k * k).select(F.floor(F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j")).where("j >= i")
+    return every.join(sums, ["i", "j"], "left").select(F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), "corr")
 
 
 def describe(df: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFrame:

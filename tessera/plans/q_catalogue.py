@@ -54,9 +54,10 @@ for _name in ("alpha101", "alpha191"):
     ),
 )
 def o01(spark, path):
-    bars = src.bars_monthly(spark, path)
-    stored = bars.where(c("dt") < F.date_sub(st.last_date(bars), 60))
-    out = st.incremental_factor(bars, stored, lambda b: b.select("code", "dt", W.mean(c("close"), 5).alias("m")))
+    newest = src.table(spark, path, "lineitem").agg(F.trunc(F.max("l_shipdate"), "month")).first()[0]
+    stored = src.bars_monthly(spark, path).where(c("dt") < F.date_sub(F.lit(newest), 60))
+    build = lambda b: b.select("code", "dt", W.mean(c("close"), 5).alias("m"))
+    out = st.incremental_factor(lambda day: src.bars_monthly(spark, path, day), stored, build, newest)
     return out.select("code", "dt", r("m").alias("m"))
 
 

@@ -112,7 +112,7 @@ def g02(spark, path):
 _flow_cte = {
     "mf": """select l_suppkey as code, cast(l_shipdate as date) as dt, sum(case when l_returnflag <> 'R' and l_quantity <= 25 then l_quantity else 0 end) as buy_sm_vol,
         sum(case when l_returnflag <> 'R' and l_quantity > 25 then l_quantity else 0 end) as buy_lg_vol, sum(case when l_returnflag = 'R' then l_extendedprice else 0 end) as sell_amount,
-        sum(case when l_returnflag = 'R' then -l_quantity else l_quantity end) as net_mf_vol from lineitem where l_linenumber <= 4 group by 1, 2"""
+        sum(case when l_returnflag = 'R' then -l_quantity else l_quantity end) as net_mf_vol from lineitem group by 1, 2"""
 }
 
 
@@ -127,7 +127,7 @@ _flow_cte = {
     ),
 )
 def g03(spark, path):
-    lines = src.table(spark, path, "lineitem").where("l_linenumber <= 4")
+    lines = src.table(spark, path, "lineitem")
     returned, small = c("l_returnflag") == "R", c("l_quantity") <= 25
     q = c("l_quantity")
     table = lines.groupBy(c("l_suppkey").alias("code"), src.day().alias("trade_date")).agg(

@@ -12,6 +12,7 @@ from tessera.operators import align as G
 from tessera.operators import bars as B
 from tessera.plans.q_windows import panel_m, rank_sql
 from tessera.plans.registry import UPTO, P, query, r, with_views
+from tessera.session import scratch_path
 from tessera.sources import panel as src
 from tessera.sources import storage as st
 
@@ -115,7 +116,7 @@ _factor_sql = "select code, dt, close / open as gain, high - low as spread, volu
     ),
 )
 def s08(spark, path):
-    store = st.scratch_path(spark, "factors")
+    store = scratch_path(spark, "factors")
     st.write_factors(st.to_long(factor_table(spark, path), ["gain", "spread", "lots"]), store)
     codes = src.listing(spark, path).where("market = 'ASIA'")
     out = st.read_factors(spark, store, ["gain", "lots"], "1996-01-01", "1998-12-31", codes)
@@ -130,7 +131,7 @@ def s08(spark, path):
     ),
 )
 def s09(spark, path):
-    store = st.scratch_path(spark, "factors")
+    store = scratch_path(spark, "factors")
     long = st.to_long(factor_table(spark, path), ["gain", "spread", "lots"])
     early = c("dt") < lit_date("1999-01-01")
     st.write_factors(long.where(early), store)
@@ -161,7 +162,7 @@ _bars_round = ", ".join(f"round({k}, 4) as {k}" for k in BAR_COLUMNS)
 
 @query("S12_export_by_code", with_views(f"select code, dt, year(dt)::integer as year, {_bars_round} from bars_d", "bars_d"))
 def s12(spark, path):
-    store = st.scratch_path(spark, "by-code")
+    store = scratch_path(spark, "by-code")
     bars = bars_d(spark, path)
     st.export_by_code(bars, store, buckets=4)
     st.export_by_code(bars.where(F.year("dt") == 1998), store, buckets=4)  # a rerun replaces its own year only
@@ -174,7 +175,7 @@ def s12(spark, path):
        round(max(value), 4) as high, round(min(value), 4) as low from events group by all""",
 )
 def s13(spark, path):
-    store = st.scratch_path(spark, "by-date")
+    store = scratch_path(spark, "by-date")
     st.export_by_date(event_bars(spark, path), store)
     return spark.read.parquet(store).select("code", "dt", "year", "month", "day", r("high", 4).alias("high"), r("low", 4).alias("low"))
 
@@ -192,7 +193,7 @@ def event_bars(spark, path):
 
 @query("S14_latest_partition", "select year(m)::integer as year, month(m)::integer as month, day(m)::integer as day from (select max(ts) as m from events)")
 def s14(spark, path):
-    store = st.scratch_path(spark, "by-date")
+    store = scratch_path(spark, "by-date")
     st.export_by_date(event_bars(spark, path), store)
     return st.latest_partition(spark.read.parquet(store))
 
@@ -224,11 +225,11 @@ def s16(spark, path):
 
 @query("S17_replace_table", "select n_nationkey, n_name from nation where n_nationkey >= 5")
 def s17(spark, path):
-    store = st.scratch_path(spark, "nation")
+    store = scratch_path(spark, "nation")
     nation = src.table(spark, path, "nation").select("n_nationkey", "n_name")
     st.replace_table(nation, store)
     st.replace_table(nation.where("n_nationkey >= 5"), store)
-    return spark.read.parquet(store)
+    return st.read_table(spark, store)
 
 
 @query(
@@ -291,7 +292,7 @@ def s21(spark, path):
     ),
 )
 def s22(spark, path):
-    store = st.scratch_path(spark, "snapshots")
+    store = scratch_path(spark, "snapshots")
     bars = bars_m(spark, path).select("code", "dt", r("close").alias("close"))
     thin = bars.where((c("dt") >= lit_date("1997-01-01")) | (c("code") % 2 == 0))
     thin.repartition("dt").write.partitionBy("dt").parquet(store)
@@ -522,13 +523,13 @@ def j09(spark, path):
 
 
 def predictions(spark, path):
-    """Stand-in model output: last month's gain, on two thirds of the codes."""
+    """Stand-in model output: last month's gain."""
     bars = bars_m(spark, path)
     pred = bars.select("code", "dt", (c("close") / W.delay(c("close"))).alias("pred"))
-    return pred.where("pred is not null and code % 3 <> 0")
+    return pred.where("pred is not null")
 
 
-_pred_cte = {"pr": f"select * from (select code, dt, close / lag(close) {P} as pred from bars_m) where pred is not null and code % 3 <> 0"}
+_pred_cte = {"pr": f"select * from (select code, dt, close / lag(close) {P} as pred from bars_m) where pred is not null"}
 
 
 @query(
@@ -775,9 +776,11 @@ def k03(spark, path):
     return bars_d(spark, path).orderBy(F.desc("amount"), "code", "dt").limit(50).select("code", "dt", r("amount", 4).alias("amount"))
 
 
-@query("K04_random_sample")
+@query("K04_random_sample", "select s_suppkey as code from supplier order by md5(s_suppkey || '-7'), s_suppkey limit 10")
 def k04(spark, path):
-    return src.table(spark, path, "supplier").select(c("s_suppkey").alias("code")).orderBy(F.rand(7)).limit(10)
+    """Ten codes in the order of a seeded hash: random, but the same however the table is partitioned."""
+    codes = src.table(spark, path, "supplier").select(c("s_suppkey").alias("code"))
+    return codes.orderBy(F.md5(F.concat(c("code").cast("string"), F.lit("-7")).cast("binary")), "code").limit(10)
 
 
 @query(

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.functions import windows as W
-from tessera.session import scratch_path  # noqa: F401
-
 
 # -- factor store ---------------------------------------------------------------------------
 def to_long(df: DataFrame, factors: Sequence[str]) -> DataFrame:
@@ -18,17 +17,17 @@ def to_long(df: DataFrame, factors: Sequence[str]) -> DataFrame:
 
 
 def write_factors(long: DataFrame, path: str, mode: str = "append") -> None:
-    """(factor, code, dt, value) in one folder per factor.
+    """(factor, code, dt, value) in one folder per factor and year, sorted by date inside the files.
 
-    Rows of a factor are spread over code hashes before the write, so one large factor is
-    written by many tasks and a task opens few files.
+    Folders are rebalanced by size: a large one is written by many tasks, small ones share tasks.
     """
-    spread = F.pmod(F.xxhash64("code"), F.lit(32))
     (
-        long.repartition("factor", spread)
+        long.withColumn("year", F.year("dt"))
+        .hint("rebalance", F.col("factor"), F.col("year"))
+        .sortWithinPartitions("factor", "year", "dt")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("factor")
+        .partitionBy("factor", "year")
         .parquet(path)
     )
 
@@ -41,12 +40,12 @@ def read_factors(
     end: str | None = None,
     codes: DataFrame | None = None,
 ) -> DataFrame:
-    """Wide (code, dt, factors) for an inclusive date range; folders and dates are pruned at the scan."""
+    """Wide (code, dt, factors) for an inclusive date range; factor and year folders are pruned, dates pushed down."""
     long = spark.read.parquet(path).where(F.col("factor").isin(list(factors)))
     if start:
-        long = long.where(F.col("dt") >= F.lit(start).cast("date"))
+        long = long.where((F.col("dt") >= F.lit(start).cast("date")) & (F.col("year") >= int(start[:4])))
     if end:
-        long = long.where(F.col("dt") <= F.lit(end).cast("date"))
+        long = long.where((F.col("dt") <= F.lit(end).cast("date")) & (F.col("year") <= int(end[:4])))
     if codes is not None:
         long = long.join(codes.select("code"), "code", "left_semi")
     return long.groupBy("code", "dt").pivot("factor", list(factors)).agg(F.first("value"))
@@ -99,7 +98,7 @@ def export_by_code(bars: DataFrame, path: str, buckets: int | None = None) -> No
     if buckets is not None:
         out = out.withColumn("bucket", F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int"))
     (
-        out.repartition("year", part)
+        out.hint("rebalance", F.col("year"), F.col(part))
         .sortWithinPartitions("year", part, "code", "dt")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -110,10 +109,10 @@ def export_by_code(bars: DataFrame, path: str, buckets: int | None = None) -> No
 
 def export_by_date(bars: DataFrame, path: str) -> None:
     """One folder per year, month and day; only days present in ``bars`` are replaced."""
-    spread = F.pmod(F.xxhash64("code"), F.lit(8))
     out = bars.withColumns({"year": F.year("dt"), "month": F.month("dt"), "day": F.dayofmonth("dt")})
     (
-        out.repartition("year", "month", "day", spread)
+        out.hint("rebalance", F.col("year"), F.col("month"), F.col("day"))
+        .sortWithinPartitions("year", "month", "day", "code")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month", "day")
@@ -154,11 +153,44 @@ def append_evolve(old: DataFrame, new: DataFrame, text: Sequence[str], numbers:
     return coerce(coerce(old).unionByName(coerce(new), allowMissingColumns=True))
 
 
+VERSION = "version="
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Stage the new content in full, then overwrite the target from the stage."""
-    stage = f"{path.rstrip('/')}_tmp"
-    df.write.mode("overwrite").parquet(stage)
-    df.sparkSession.read.parquet(stage).write.mode("overwrite").parquet(path)
+    """Write the new content as the table's next version; readers keep the last one until it is complete.
+
+    A version counts once its writer has committed it, so a failed write leaves the old content in place. The
+    version before the last one is kept for readers that still hold it; older ones are removed.
+    """
+    spark = df.sparkSession
+    known = _versions(spark, path)
+    df.write.parquet(f"{path.rstrip('/')}/{VERSION}{known[-1] + 1 if known else 0:010d}")
+    fs, root = _folder(spark, path)
+    for old in known[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{VERSION}{old:010d}"), True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table written by :func:`replace_table`."""
+    known = _versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no complete version in {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{VERSION}{known[-1]:010d}")
+
+
+def _folder(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions, in order."""
+    fs, root = _folder(spark, path)
+    if not fs.exists(root):
+        return []
+    folders = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith(VERSION)]
+    done = [f for f in folders if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().removeprefix(VERSION)) for f in done)
 
 
 def incremental_append(old: DataFrame, new: DataFrame, per_code: bool = False) -> DataFrame:
@@ -213,12 +245,13 @@ def month_slices(span: DataFrame) -> DataFrame:
     )
 
 
-def incremental_factor(bars: DataFrame, stored: DataFrame, build, days: int = 700, stale: int = 100) -> DataFrame:
+def incremental_factor(bars_from: Callable[[datetime.date | None], DataFrame], store: DataFrame, build, newest: datetime.date, days: int = 700, stale: int = 100) -> DataFrame:
     """Rows newer than the stored ones, recomputed from the last ``days`` days only.
 
-    A store more than ``stale`` days behind the bars is recomputed from all of its history.
+    ``bars_from(day)`` gives the bars from a day on (all for None); the day is a plain date, so it reaches the scan
+    of whatever the bars are built from. A store more than ``stale`` days behind ``newest`` is recomputed from all history.
     """
-    last, newest = last_date(stored), last_date(bars)
-    window = F.when(F.datediff(newest, last) > stale, F.lit("0001-01-01").cast("date")).otherwise(F.date_sub(newest, days))
-    recent = bars.where(F.col("dt") >= window)
-    return build(recent).where(F.col("dt") > last)
+    last = store.agg(F.max("dt")).first()[0]
+    behind = last is None or (newest - last).days > stale
+    out = build(bars_from(None if behind else newest - datetime.timedelta(days=days)))
+    return out if last is None else out.where(F.col("dt") > F.lit(last))

@@ -3,10 +3,12 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import windows as W
+from tessera.operators import aggregates as A
 from tessera.operators import align as G
 from tessera.operators import bars as B
 from tessera.operators import evaluate as V
@@ -138,7 +140,28 @@ def test_incremental_factor_recomputes_a_stale_store(spark):
     def build(b):
         return b.select("code", "dt", W.ts_sum(F.col("close"), 150).alias("s"))
 
-    fresh = st.incremental_factor(bars, bars.where(F.col("dt") <= day(195)), build, days=20)
-    stale = st.incremental_factor(bars, bars.where(F.col("dt") <= day(50)), build, days=20)
+    def since(first):
+        return bars if first is None else bars.where(F.col("dt") >= first)
+
+    fresh = st.incremental_factor(since, bars.where(F.col("dt") <= day(195)), build, day(199), days=20)
+    stale = st.incremental_factor(since, bars.where(F.col("dt") <= day(50)), build, day(199), days=20)
     assert fresh.count() == 4 and fresh.where("s is not null").count() == 0
     assert stale.where("s is not null").count() == 51
+
+
+def test_replace_table_keeps_the_old_content_when_a_write_fails(spark, tmp_path):
+    path = str(tmp_path / "t")
+    st.replace_table(spark.range(3), path)
+    with pytest.raises(Exception):
+        st.replace_table(spark.range(5).select(F.raise_error(F.lit("stop")).alias("id")), path)
+    assert st.read_table(spark, path).count() == 3
+    st.replace_table(spark.range(7), path)
+    assert st.read_table(spark, path).count() == 7
+
+
+def test_correlation_matrix_over_pairs_with_both_values(spark):
+    rows = [(float(i), None if i % 4 == 0 else float(i * i % 17) + 1e9, float(-i)) for i in range(40)]
+    got = {(r.a, r.b): r.corr for r in A.corr_matrix(spark.createDataFrame(rows, "x double, y double, z double"), ["x", "y", "z"]).collect()}
+    have = np.array([r[:2] for r in rows if r[1] is not None])
+    assert set(got) == {("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")}
+    assert math.isclose(got["x", "y"], np.corrcoef(have.T)[0, 1], abs_tol=1e-6) and math.isclose(got["x", "z"], -1)
