@@ -15,18 +15,28 @@ from tessera.llm.quality import keep_good
 from tessera.session import materialise
 
 
+ROWS = "1000"  # whole texts are long rows: small batches keep the Python workers' memory bounded
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of low quality and toxic ones go."""
+    small_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in which no language prevails, go."""
+    small_batches(spark)
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id. Rows without an id stay."""
+    small_batches(spark)
     kept = near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id")
     unnamed = docs.where("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(unnamed)
@@ -34,12 +44,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item go. Rows without an id stay."""
+    small_batches(spark)
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

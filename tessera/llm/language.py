@@ -109,14 +109,14 @@ def lettered(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def predicted(texts: list[str], lettered: np.ndarray, langs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def predicted(texts: pa.Array, lettered: pa.Array, langs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of each text's language (len(langs) for none) and its score, a batch of texts at a time."""
-    found = Presence()
+    found, lettered = Presence(), lettered.to_numpy(zero_copy_only=False)
     best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
     size, part, rows = 0, [], []
     for i, x in enumerate(texts):
         if lettered[i] and langs:
-            part.append(x.encode())
+            part.append(x.as_py().encode())
             rows.append(i)
             size += len(part[-1])
         if part and (size >= BATCH_BYTES or i + 1 == len(texts)):
@@ -174,7 +174,7 @@ def detect_languages(
 
     def predict(batches):
         for batch in batches:
-            best, score = predicted(batch.column(2).to_pylist(), batch.column(3).to_numpy(zero_copy_only=False), langs, model.value)
+            best, score = predicted(batch.column(2), batch.column(3), langs, model.value)
             arrays = [batch.column(0), batch.column(1), pa.array(names[best].astype(object), pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -187,13 +187,13 @@ def keep_identified(docs: DataFrame, least: float = 0.35, held_out: str = "pmod(
     """The rows of ``docs``, with all their columns, whose language is not ``und`` and scores ``least`` or more."""
     langs, model = _fitted(docs, held_out, text)
     names = docs.columns
-    own = [f"own_{i}" for i in range(len(names))]  # out of the way of clashing names
+    own = ["text" if c == text else f"own_{i}" for i, c in enumerate(names)]  # out of the way of clashing names
 
     def choose(batches):
         for batch in batches:
-            best, score = predicted(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), langs, model.value)
+            best, score = predicted(batch.column(0), batch.column(1), langs, model.value)
             rows = batch.filter(pa.array((best < len(langs)) & (score >= least)))
-            yield pa.RecordBatch.from_arrays(rows.columns[2:], names=names)
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in own], names=names)
 
-    inputs = docs.select(filled(F.col(text)).alias("text"), lettered(text).alias("lettered"), *[F.col(c).alias(o) for c, o in zip(docs.columns, own)])
+    inputs = docs.select(F.col(text).alias("text"), lettered(text).alias("lettered"), *[F.col(c).alias(o) for c, o in zip(names, own) if c != text])
     return inputs.mapInArrow(choose, docs.schema)

@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filled, ragged, word_hashes
+from tessera.llm.common import ragged, word_hashes
 
 SPACE_BITS = 20  # of the hashed vocabulary
 N_WORDS = 2048  # telling words the content model may use
 N_CONTENT, N_LAYOUT, N_TAGS = 8, 8, 64
+SLICE = 500  # rows described at a time
 ROUNDS, SURE, SHARE = 4, 0.98, 0.1  # co-training: rounds, least confidence, most pseudo-labels a round and class
 BLANK, CAPITAL, DIGIT, SYMBOL = 1, 2, 3, 4
 
@@ -189,20 +190,21 @@ def _inputs(docs: DataFrame, text: str, key: str, *more) -> DataFrame:
     tags = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("source", "lang")]
     chars = (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("double")
     return docs.select(
-        F.col(key).cast("long").alias("doc_id"), filled(F.col(text)).alias("text"), word_hashes(F.col(text)).alias("t"),
+        F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), word_hashes(F.col(text)).alias("t"),
         *tags, F.coalesce(chars, F.lit(0.0)).alias("n_chars"), *more,
     )
 
 
 def _features(batch):
     """(slots, content, layout, tags) of each row of a batch of ``_inputs``."""
-    columns = dict(zip(batch.schema.names, batch.columns))
-    values, offsets = ragged(columns["t"])
-    inputs = zip(columns["text"].to_pylist(), columns["source"].to_pylist(), columns["lang"].to_pylist(), columns["n_chars"].to_pylist())
-    for (text, source, lang, n_chars), s, e in zip(inputs, offsets[:-1], offsets[1:]):
-        raw = text.encode()
-        slots, counts = word_slots(values[s:e])
-        yield slots, content_features(raw, e - s, counts), layout_features(raw, e - s, n_chars), tag_slots(source, lang)
+    for at in range(0, batch.num_rows, SLICE):
+        columns = dict(zip(batch.schema.names, batch.slice(at, SLICE).columns))
+        values, offsets = ragged(columns["t"])
+        inputs = zip(*(columns[c].to_pylist() for c in ("text", "source", "lang", "n_chars")))
+        for (text, source, lang, n_chars), s, e in zip(inputs, offsets[:-1], offsets[1:]):
+            raw = (text or "").encode()
+            slots, counts = word_slots(values[s:e])
+            yield slots, content_features(raw, e - s, counts), layout_features(raw, e - s, n_chars), tag_slots(source, lang)
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int, text: str, key: str):
@@ -268,7 +270,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabell
     """The rows of ``docs``, with all their columns, that :func:`quality_scores` accepts."""
     models = _fitted(docs, labels, labelled, unlabelled, text, key)
     names = docs.columns
-    own = [f"own_{i}" for i in range(len(names))]  # out of the way of clashing names
+    own = ["text" if c == text else f"own_{i}" for i, c in enumerate(names)]  # out of the way of clashing names
 
     def choose(batches):
         quality, toxic = models.value
@@ -277,4 +279,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabell
             rows = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in own], names=names)
 
-    return _inputs(docs, text, key, *[F.col(c).alias(o) for c, o in zip(docs.columns, own)]).mapInArrow(choose, docs.schema)
+    return _inputs(docs, text, key, *[F.col(c).alias(o) for c, o in zip(names, own) if c != text]).mapInArrow(choose, docs.schema)
