@@ -6,7 +6,7 @@ of the same formula: one common table expression per level.
 
 from __future__ import annotations
 
-from tessera.plans.registry import P, over
+from tessera.plans.registry import P, digits_sql, over
 from tessera.plans.staging import FIELDS, FormulaFrame, Term
 
 
@@ -149,7 +149,7 @@ class SqlFrame(FormulaFrame):
         text = f"(case when {c.value} then {self.number(a)} else {self.number(b)} end)"
         return Term(self, text, max(c.level, a.level, b.level), f"where({c.key},{a.key},{b.key})")
 
-    def sql(self, outputs, digits=4):
+    def sql(self, outputs):
         """The levels as common table expressions on top of the view ``fp``."""
         ctes, source = {}, "fp"
         for level in sorted(self.levels):
@@ -159,10 +159,7 @@ class SqlFrame(FormulaFrame):
         values = {k: self.number(t) for k, t in outputs.items()}
         finals = ", ".join(f"{v} as {k}" for k, v in values.items())
         ctes["fz"] = f"select code, dt, {finals} from {source}"
-        body = ", ".join(
-            f"round(case when isfinite({k}) then case when abs({k}) > 1e6 then sign({k}) * (1e6 + 1e3 * ln(abs({k}) / 1e6)) else {k} end end, {digits}) as {k}"
-            for k in values
-        )
+        body = ", ".join(f"{digits_sql(k)} as {k}" for k in values)
         source = "fz"
         return ctes, f"select code, dt, {body} from {source}"
 

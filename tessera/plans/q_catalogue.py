@@ -12,7 +12,7 @@ from tessera.plans.catalogue import recipes
 from tessera.plans.formula_sql import formulas_sql
 from tessera.plans.q_factors import _edges, corr_agg_sql
 from tessera.plans.q_indicators import ema, series
-from tessera.plans.registry import P, over, query, r, register, with_views
+from tessera.plans.registry import P, digits, over, query, r, register, with_views
 from tessera.plans.staging import evaluate, formula_panel
 from tessera.sources import panel as src
 from tessera.sources import storage as st
@@ -21,12 +21,6 @@ c = F.col
 BATCH = 20  # formulas per job: wide enough to share levels, small enough for code generation
 
 
-def tame(x):
-    """Values beyond a million on a log scale: powers of prices would leave the comparison grid."""
-    x = c(x)
-    return F.when(F.abs(x) > 1e6, F.signum(x) * (1e6 + 1e3 * F.ln(F.abs(x) / 1e6))).otherwise(x)
-
-
 def _catalogue_queries(catalogue):
     named = list(recipes(catalogue).items())
     for start in range(0, len(named), BATCH):
@@ -36,7 +30,7 @@ def _catalogue_queries(catalogue):
 
         def run(spark, path, batch=batch):
             out = evaluate(formula_panel(src.bars_monthly(spark, path)), batch)
-            return out.select("code", "dt", *[r(tame(k), 4).alias(k) for k in batch])
+            return out.select("code", "dt", *[digits(k).alias(k) for k in batch])
 
         register(f"O04_{catalogue}_{first}_{last}", run, with_views(body, "bars_m", extra=ctes))
 
@@ -127,7 +121,7 @@ def _register_scores():
     def run(spark, path):
         bars = src.bars_monthly(spark, path)
         values = evaluate(formula_panel(bars), batch)
-        values = values.select("code", "dt", *[r(k, 4).alias(k) for k in batch])
+        values = values.select("code", "dt", *[digits(k).alias(k) for k in batch])
         out = V.factor_score(values.join(bars, ["code", "dt"]), list(batch), (1,))
         return out.select("factor", r("ic").alias("ic"), r("ir").alias("ir"), r("sharpe").alias("sharpe"), r("score", 4).alias("score"))
 

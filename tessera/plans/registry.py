@@ -86,6 +86,28 @@ def r(x: Column | str, digits: int = 6) -> Column:
     return F.floor(x * 10.0**digits + GRID_EDGE) / 10.0**digits
 
 
+# Values of very different size are compared by their leading digits. What is smaller than the noise of
+# the sums it came from counts as zero.
+LEADING = 5
+NOISE = 1e-10
+
+
+def digits(x: Column | str) -> Column:
+    """``x`` to LEADING + 1 significant digits, through a text that both engines read alike."""
+    x = F.col(x) if isinstance(x, str) else x
+    tens = F.floor(F.log10(F.abs(x)))
+    lead = F.floor(x * F.pow(F.lit(10.0), LEADING - tens) + GRID_EDGE)
+    text = F.concat(lead.cast("long").cast("string"), F.lit("e"), (tens - LEADING).cast("string"))
+    return F.when(F.abs(x) < NOISE, 0.0).otherwise(text.cast("double"))
+
+
+def digits_sql(x: str) -> str:
+    """The same for DuckDB; infinities and NaN are NULL."""
+    tens = f"cast(floor(log10(abs({x}))) as integer)"
+    lead = f"cast(floor({x} * pow(10.0, {LEADING} - {tens}) + {GRID_EDGE}) as bigint)"
+    return f"case when isfinite({x}) then case when abs({x}) < {NOISE} then 0.0 else cast({lead} || 'e' || ({tens} - {LEADING}) as double) end end"
+
+
 def _closing(text: str, start: int) -> int:
     depth = 1
     for i in range(start, len(text)):
