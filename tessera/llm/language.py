@@ -21,7 +21,7 @@ SPECTRUM = (2, 3, 4)
 BITS = 18  # n-grams are told apart by so many bits of their hash
 SLOTS = 1 << BITS
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 17
 LANDMARKS = 128  # over all languages, but FEWEST of each at least
 FEWEST = 4
 EXAMPLES = 250  # of each language
