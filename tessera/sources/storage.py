@@ -163,8 +163,8 @@ def replace_table(df: DataFrame, path: str) -> None:
     version before the last one is kept for readers that still hold it; older ones are removed.
     """
     spark = df.sparkSession
-    known = _versions(spark, path)
-    df.write.parquet(f"{path.rstrip('/')}/{VERSION}{known[-1] + 1 if known else 0:010d}")
+    known, begun = _versions(spark, path)
+    df.write.parquet(f"{path.rstrip('/')}/{VERSION}{max(begun, default=-1) + 1:010d}")  # fails if another writer has it
     fs, root = _folder(spark, path)
     for old in known[:-1]:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{VERSION}{old:010d}"), True)
@@ -172,7 +172,7 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete version of a table written by :func:`replace_table`."""
-    known = _versions(spark, path)
+    known, _ = _versions(spark, path)
     if not known:
         raise FileNotFoundError(f"no complete version in {path}")
     return spark.read.parquet(f"{path.rstrip('/')}/{VERSION}{known[-1]:010d}")
@@ -183,14 +183,15 @@ def _folder(spark: SparkSession, path: str):
     return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions, in order."""
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of the complete versions, in order, and of all that were begun."""
     fs, root = _folder(spark, path)
     if not fs.exists(root):
-        return []
+        return [], []
     folders = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith(VERSION)]
     done = [f for f in folders if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
-    return sorted(int(f.getName().removeprefix(VERSION)) for f in done)
+    number = lambda f: int(f.getName().removeprefix(VERSION))
+    return sorted(map(number, done)), list(map(number, folders))
 
 
 def incremental_append(old: DataFrame, new: DataFrame, per_code: bool = False) -> DataFrame:
