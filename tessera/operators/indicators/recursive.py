@@ -1,7 +1,7 @@
 """Indicators with a recursion along time.
 
 Spark partitions the panel by code; inside a task each code's date-sorted history is one
-small Arrow batch (never longer than the calendar) and a kernel of a few array operations
+array (never longer than the calendar) and a kernel of a few array operations
 runs over it. Everything that is not recursive stays a window expression.
 """
 
@@ -24,18 +24,33 @@ from tessera.operators.registry import indicator
 def fold_by_code(
     bars: DataFrame, kernel: Callable[..., Sequence[np.ndarray]], inputs: Sequence[str], outputs: Sequence[str]
 ) -> DataFrame:
-    """Append ``outputs`` = ``kernel(*input arrays)`` computed over each code in date order."""
-    schema = T.StructType([*bars.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outputs]])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt", kind="stable").reset_index(drop=True)
-        arrays = [pdf[i].to_numpy(dtype="float64", na_value=np.nan) for i in inputs]
-        for name, values in zip(outputs, kernel(*arrays)):
-            values = np.where(np.isfinite(values), values, np.nan)
-            pdf[name] = pd.Series(values).astype("Float64")
-        return pdf
-
-    return bars.groupBy("code").applyInPandas(run, schema)
+    """Append ``outputs`` = ``kernel(*input arrays)`` computed over each code in date order.
+
+    A code's rows stay in the JVM as one array, bounded by the calendar; only the arrays of the inputs go to Python,
+    many codes in one Arrow batch.
+    """
+    columns = [c for c in bars.columns if c not in ("code", "dt")]
+    rows = bars.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("dt", *columns))).alias("_rows"))
+
+    @F.pandas_udf(T.StructType([T.StructField(o, T.ArrayType(T.DoubleType())) for o in outputs]))
+    def run(*inputs: pd.Series) -> pd.DataFrame:
+        found = [[] for _ in outputs]
+        for arrays in zip(*inputs):
+            for column, values in zip(found, kernel(*[np.asarray(a, dtype="float64") for a in arrays])):
+                column.append(np.where(np.isfinite(values), values, np.nan))
+        return pd.DataFrame(dict(zip(outputs, found)))
+
+    def series(name):
+        return F.transform("_rows", lambda s: s[name].cast("double"))
+
+    folded = rows.withColumn("_out", run(*map(series, inputs)))
+
+    def row(s, i):
+        values = [F.get(F.col(f"_out.{o}"), i) for o in outputs]
+        cleaned = [F.when(~F.isnan(v), v).alias(o) for v, o in zip(values, outputs)]
+        return F.struct(*[s[c].alias(c) for c in ("dt", *columns)], *cleaned)
+
+    return folded.select("code", F.inline(F.transform("_rows", row))).select(*bars.columns, *outputs)
 
 
 def _recursive(name: str, outputs: str, inputs: str, *defaults):
