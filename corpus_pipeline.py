@@ -52,7 +52,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of at most 2048 tokens."""
     small_batches(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Workers outlive the stage, so they keep little: the other stages share their memory.
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=100_000)
 
 
 STAGES = [

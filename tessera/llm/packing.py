@@ -44,6 +44,7 @@ class WordTokenizer:
         self.odd[[ord(c) for c in "\x1c\x1d\x1e\x1fİΣ"]] = True
         self.marks = re.compile("|".join([r"[\x1c-\x1f]", *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]))
         self.known: dict[str, bytes] = {}
+        self.most = CACHE_PIECES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -54,7 +55,7 @@ class WordTokenizer:
                 text = unicodedata.normalize("NFC", text)
             whole = self.marks.search(text) or not plain and self.odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
             split.append(None if whole else self.split(text.lower()))
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > self.most:
             self.known = {}
         new = list({p for pieces in split if pieces for p in pieces}.difference(self.known))
         for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
@@ -77,13 +78,14 @@ def tokenizer_of(path: str) -> WordTokenizer:
 BATCH_CHARS = 1 << 20
 
 
-def pieces_of(docs: DataFrame, path: str, limit: int, end_id: int, with_ids: bool, text: str, key: str) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, limit: int, end_id: int, with_ids: bool, text: str, key: str, cached: int) -> DataFrame:
     """One row per piece: whole sequences of ``limit`` ids and a tail, over the ids and the end id."""
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * limit
 
     def cut(batches):
         tokenizer = tokenizer_of(path)
+        tokenizer.most = cached
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             at = size = 0
@@ -154,17 +156,18 @@ def _keep(open_packs, done, pattern, count, room) -> None:
 
 
 def pack(
-    docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_ids: bool = False, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_ids: bool = False, text: str = "text", key: str = "doc_id",
+    cached: int = CACHE_PIECES,
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): one row per piece.
 
     Every row of ``docs`` is a document, also where ids repeat or are null; a null or empty text is its end id
     alone. Sequences hold at most ``limit`` ids and their pieces lie one behind the other from offset 0; sequence
     ids run from 0 without gaps. Equal pieces may change places between runs of the same data, nothing else. An empty
-    table gives no rows. Other columns are not read.
+    table gives no rows. Other columns are not read. A Python worker remembers the ids of about ``cached`` distinct pieces.
     """
     spark = docs.sparkSession
-    pieces = materialise(pieces_of(docs, path, limit, end_id, with_ids, text, key), "pieces")
+    pieces = materialise(pieces_of(docs, path, limit, end_id, with_ids, text, key, cached), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     packs = shortest_pack_first(histogram, limit)
     taken: Counter = Counter()
