@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Every text is read once; its word n-grams are tested against a Bloom bitset of all benchmark n-grams.
    The bitset has a fixed size, so what is broadcast does not grow. Hits are joined exactly afterwards.
-2. The document frequency of each benchmark n-gram is counted over all documents, and each item keeps its
-   rarest n-grams as seeds.
+2. Every n-gram of an item is a seed, however many documents hold it: an edited copy is found by whichever
+   n-grams it kept. Document hits without a second hit within reach of any item are left out before the join.
 3. Documents meet items on seeds; seeds that lie close to one diagonal open a window of the document.
 4. Each window's words are aligned with the item's words by Smith-Waterman; the score is a share of the
    item's own best score, so edited, cut and paraphrased copies score high and chance phrases low.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bits_of, filled, in_bits, mixed, ragged
@@ -69,13 +69,19 @@ def item_grams(items: DataFrame, width: int) -> DataFrame:
     return items.mapInArrow(expand, "item_id long, gram long, pos long, n_words long")
 
 
-def hits_of(docs: DataFrame, bits, width: int) -> DataFrame:
-    """(doc_id, gram, pos) of the n-grams that may be in the benchmark."""
+def hits_of(docs: DataFrame, bits, width: int, reach: int) -> DataFrame:
+    """(doc_id, gram, pos) of the n-grams that may be in the benchmark and have another within ``reach`` words.
+
+    With a ``reach`` of 0 those without one are kept too.
+    """
 
     def find(batches):
         for batch in batches:
             owner, position, h = runs(batch.column(1), width)
             met = np.flatnonzero(in_bits(bits.value, h))
+            if reach:
+                close = (np.diff(owner[met]) == 0) & (np.diff(position[met]) <= reach)
+                met = met[np.concatenate([[False], close]) | np.concatenate([close, [False]])] if len(met) else met
             ids = batch.column(0).take(pa.array(owner[met]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(h[met]), pa.array(position[met], pa.int64())], names=["doc_id", "gram", "pos"])
 
@@ -122,8 +128,6 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     width: int = 3,
-    rare_share: float = 0.5,
-    least_seeds: int = 16,
     least_hits: int = 2,
     threshold: float = 0.5,
     text: str = "text",
@@ -133,10 +137,10 @@ def contaminated(
 
     ``best`` is the Smith-Waterman score (match 2, mismatch and gap -1) of the item's words and ``score`` its share
     of the item's own 2 * words; rows have score >= ``threshold``. first_word and last_word delimit the passage in
-    the document's words. An item's seeds are its rarest ``width``-word runs by document frequency: ``rare_share`` of
-    them and ``least_seeds`` at least, ties by hash. A window needs ``least_hits`` seeds near one diagonal, or all
-    seeds of an item that has fewer; an item of fewer words than ``width`` is only found as a whole text. Null, empty and blank texts, on either side, match nothing; rows
-    without an id are left out. Repeated ids are one document whose texts are all searched, repeated items are
+    the document's words. An item's seeds are all its ``width``-word runs. A window needs ``least_hits`` seeds near one
+    diagonal, or all seeds of an item that has fewer; an item of fewer words than ``width`` is only found as a whole text.
+    Rows that meet on seeds grow with the documents times the items that share a run. Null, empty and blank texts, on
+    either side, match nothing; rows without an id are left out. Repeated ids are one document whose texts are all searched, repeated items are
     one item. Other columns are not read; an empty side gives no rows.
     """
     spark = docs.sparkSession
@@ -145,14 +149,11 @@ def contaminated(
     items = items.where("item_id is not null and size(words) > 0").dropDuplicates(["item_id", "words"])
     known = materialise(item_grams(items.select("item_id", "words"), width), "grams")
     bits = spark.sparkContext.broadcast(bits_of(known.select("gram")))
-    hits = materialise(hits_of(read, bits, width), "hits")
-
-    # Document frequencies of benchmark n-grams, combined per document before anything is shuffled by n-gram.
-    frequency = hits.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = Window.partitionBy("item_id").orderBy("df", "gram", "pos")
-    placed = known.join(frequency, "gram").withColumn("place", F.row_number().over(by_rarity))
-    kept = F.greatest(F.lit(least_seeds), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("item_id")) * rare_share))
-    seeds = placed.withColumn("kept", kept).where("place <= kept").select("item_id", "gram", F.col("pos").alias("item_pos"), "n_words")
+    # Two hits of a window are no further apart than the item is long and its diagonals are wide; with an item that one hit finds, each counts.
+    sizes = known.agg(F.min("n_words").alias("least"), F.max("n_words").alias("most")).first()
+    alone = least_hits < 2 or sizes.least is None or sizes.least <= width
+    hits = materialise(hits_of(read, bits, width, 0 if alone else 2 * sizes.most + 8), "hits")
+    seeds = known.select("item_id", "gram", F.col("pos").alias("item_pos"), "n_words")
 
     # A window is a stretch of diagonals no wider than the item; neighbours overlap by half so that none is cut.
     diagonal = F.col("pos") - F.col("item_pos")

@@ -163,6 +163,24 @@ def test_contamination_by_brute_force(spark, prose, empty):
     assert decontamination.contaminated(empty, bench).collect() == [] and decontamination.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_edited_copies_beside_a_verbatim_one(spark):
+    rng = random.Random(11)
+    items = [[f"w{i}x{j}" for j in range(48)] for i in range(8)]
+    texts, want = [], {}
+    for i, w in enumerate(items):
+        random_fifth = set(rng.sample(range(48), 48 // 5))
+        edits = [{*range(3, 48, every)} for every in (4, 5, 6)] + [random_fifth]
+        for copies, changed in [(1, set()), *((1, e) for e in edits), *([(300, edits[1])] if i == 0 else [])]:
+            text = [f"new{j}" if j in changed else t for j, t in enumerate(w)]
+            for _ in range(copies):
+                want[len(texts), i] = smith_waterman(text, w)
+                texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert min(want.values()) >= 48
+    assert {(r.doc_id, r.item_id): r.best for r in decontamination.contaminated(docs, bench).collect()} == want
+
+
 # -- quality ----------------------------------------------------------------------------------
 def test_quality_on_documents_it_did_not_see(spark, empty):
     path = "/root/testdata/sf0.01"
