@@ -2,7 +2,7 @@
 
 Each half of a unit vector has its own codebook; the product of the two codebooks is a grid of cells. A vector
 visits the cells nearest to it in multi-sequence order (by the sum of both halves' distances), as many as the target
-recall takes on a sample, and is compared with what lies in them. Every link is verified in double precision.
+recall takes for the links of a sample with all vectors, and is compared with what lies in them. Every link is verified in double precision.
 Large cells are cut into blocks, so a task holds a bounded number of vectors and no pair is ever a row.
 """
 
@@ -20,6 +20,7 @@ BLOCK = 1024  # vectors of a cell, and visitors, that meet in one task
 PER_CELL = 16  # vectors per cell that the codebooks aim at
 MOST_CENTRES = 256
 LEAST_CELLS = 12  # visited, whatever the sample says
+FEW_LINKS = 1000  # of a sample; with fewer, made-up links at the least cosine count too
 TURNS = 12  # of k-means
 
 
@@ -67,38 +68,96 @@ def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], many: int) -> np
     return np.take_along_axis(order[0][:, i] * len(books[1]) + order[1][:, j], best, axis=1)
 
 
-def cells_needed(x: np.ndarray, books, cosine: float, recall: float) -> int:
-    """Cells to visit so that ``recall`` of the sample's links are found."""
-    every = visits(x, books, min(1024, len(books[0]) * len(books[1])))
-    own, ranks = every[:, 0], []
-    for s in range(0, len(x), 1024):
-        q, u = np.nonzero(x[s : s + 1024] @ x.T >= cosine)
-        q = q + s
-        q, u = q[q != u], u[q != u]
-        for b in range(0, len(q), 1 << 16):
-            met = every[q[b : b + (1 << 16)]] == own[u[b : b + (1 << 16)], None]
-            ranks.append(np.where(met.any(axis=1), met.argmax(axis=1), every.shape[1] - 1))
-    ranks = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0)
-    return int(ranks[int(np.ceil(recall * len(ranks))) - 1]) + 1 if len(ranks) else 1
+def cell_ranks(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cells: np.ndarray) -> np.ndarray:
+    """How many cells each vector visits until it has visited the given one; of equally near cells all count."""
+    half, k = x.shape[1] // 2, len(books[1])
+    d, e = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
+    row = np.arange(len(x))
+    most = (d[row, cells // k] + e[row, cells % k]) * (1 + 1e-9) + 1e-12
+    e.sort(axis=1)
+    return np.array([np.searchsorted(b, m - a, side="right").sum() for a, b, m in zip(d, e, most)], np.int64)
+
+
+def sample_ranks(reps: DataFrame, ids: np.ndarray, x: np.ndarray, books, cosine: float) -> dict[int, int]:
+    """How many links of the sample with all vectors of ``reps`` need so many cells, by number of cells.
+
+    The sample is sent to where the vectors are; only the counts come back.
+    """
+    held = reps.sparkSession.sparkContext.broadcast((ids, x, books))
+    dim = x.shape[1]
+
+    def count(batches):
+        ids, x, books = held.value
+        found: dict[int, int] = {}
+        for batch in batches:
+            values, offsets = ragged(batch.column(1))
+            v, own = unit(values[offsets[0] : offsets[-1]], dim), batch.column(0).to_numpy()
+            for s in range(0, len(v), 256):
+                u, q = np.nonzero(v[s : s + 256] @ x.T >= cosine)
+                other = own[u + s] != ids[q]
+                u, q = u[other] + s, q[other]
+                if not len(u):
+                    continue
+                homes = visits(v[s : s + 256], books, 1)[:, 0]
+                met, times = np.unique(np.column_stack([q, homes[u - s]]), axis=0, return_counts=True)
+                for b in range(0, len(met), 1024):
+                    ranks = cell_ranks(x[met[b : b + 1024, 0]], books, met[b : b + 1024, 1])
+                    for r, n in zip(ranks.tolist(), times[b : b + 1024].tolist()):
+                        found[r] = found.get(r, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["cells", "n"])
+
+    counts = reps.select("id", "embedding").mapInArrow(count, "cells long, n long").groupBy("cells").agg(F.sum("n").alias("n"))
+    return {r.cells: r.n for r in counts.collect()}
+
+
+def made_up_ranks(x: np.ndarray, books, cosine: float) -> np.ndarray:
+    """Cells that links of exactly the least cosine, in random directions from the sample's vectors, need."""
+    rng = np.random.default_rng(0)
+    x = x[np.linspace(0, len(x) - 1, min(len(x), FEW_LINKS)).astype(int)]
+    side = rng.normal(size=x.shape)
+    side = side - (side * x).sum(axis=1)[:, None] * x
+    side = side / np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    other = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * side
+    return cell_ranks(x, books, visits(other, books, 1)[:, 0])
+
+
+def cells_needed(counts: dict[int, int], recall: float) -> int:
+    """Cells to visit so that ``recall`` of the counted links are found."""
+    ranks = np.array(sorted(counts), np.int64)
+    if not len(ranks):
+        return 1
+    met = np.cumsum([counts[r] for r in ranks.tolist()])
+    return int(ranks[min(len(ranks) - 1, np.searchsorted(met, np.ceil(recall * met[-1])))])
 
 
 def _links(reps: DataFrame, dim: int, cosine: float, recall: float, sample: int) -> DataFrame:
     """(id, links, other): parts of each vector's link count, and links (id, other) that connect what is linked."""
     spark = reps.sparkSession
     count = reps.count()
-    drawn = reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, sample / max(1, count)) * (1 << 20)))
-    rows = sorted((r.id, r.embedding) for r in drawn.select("id", "embedding").collect()) or [(r.id, r.embedding) for r in reps.limit(1).collect()]
-    x = unit(np.array([e for _, e in rows]), dim)
+    most = int(min(1.0, sample / max(1, count)) * (1 << 20))
+
+    def drawn(*salt):
+        part = reps.where(F.pmod(F.xxhash64("id", *map(F.lit, salt)), F.lit(1 << 20)) < most).select("id", "embedding")
+        rows = sorted((r.id, r.embedding) for r in part.collect()) or [(r.id, r.embedding) for r in reps.limit(1).collect()]
+        return np.array([i for i, _ in rows]), unit(np.array([e for _, e in rows]), dim)
+
+    _, x = drawn()
     k = max(1, min(MOST_CENTRES, len(x), int(np.ceil(np.sqrt(count / PER_CELL)))))
     books = (codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k))
-    many = min(k * k, max(LEAST_CELLS, cells_needed(x, books, cosine, recall)))
+    ids, queries = drawn("query")  # others than the centres come from, to which their own sample lies closer
+    counts = sample_ranks(reps, ids, queries, books, cosine)
+    if len(ids) < count and sum(counts.values()) < FEW_LINKS:
+        for r in made_up_ranks(queries, books, cosine).tolist():
+            counts[r] = counts.get(r, 0) + 1
+    many = min(k * k, max(LEAST_CELLS, cells_needed(counts, recall)))
+    step = max(1, min(1024, (1 << 22) // (many * max(1, many.bit_length()))))
     held = spark.sparkContext.broadcast(books)
 
     def place(batches):
         for batch in batches:
             values, offsets = ragged(batch.column(2))
             v = unit(values[offsets[0] : offsets[-1]], dim)
-            found = np.concatenate([visits(v[i : i + 1024], held.value, many) for i in range(0, len(v), 1024)]) if len(v) else np.zeros((0, many), int)
+            found = np.concatenate([visits(v[i : i + step], held.value, many) for i in range(0, len(v), step)]) if len(v) else np.zeros((0, many), int)
             ends = pa.array(np.arange(0, found.size + 1, many, dtype=np.int32))
             unit_ends = pa.array(np.arange(0, v.size + 1, dim, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -174,8 +233,10 @@ def near_vectors(
     Vectors are linked when their cosine in double precision is at least ``cosine``. A vector that is null, empty, zero or
     holds a null or non-finite component has no link; neither have vectors of different lengths with each other. Equal
     vectors are one entry of the index and count as often as they occur, also under a repeated id. Rows without an id
-    are compared with nothing and kept. The codebooks and the number of visited cells come from ``sample`` vectors
-    (about, by a hash of the id); all vectors are indexed. Other columns are not read.
+    are compared with nothing and kept. The codebooks come from ``sample`` vectors (about, by a hash of the id). So many
+    cells are visited that ``recall`` of the links of as many others with all vectors are found; where these are a part and
+    have fewer than FEW_LINKS links, links made up at the least cosine count with them. How many of the other vectors' links are
+    found is an estimate from these. All vectors are indexed. Other columns are not read.
     """
     e = F.col(column).cast("array<double>")
     sound = F.forall(e, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)

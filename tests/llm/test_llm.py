@@ -294,6 +294,28 @@ def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     assert [r.n_links for r in sorted(vectors.near_vectors(df).collect(), key=lambda r: r.vec_id)] == want
 
 
+def test_recall_where_the_sample_is_a_small_part(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CELL", 1)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(1500, 64))
+    side -= (side * x[:1500]).sum(axis=1)[:, None] * x[:1500]
+    x[1500:] = 0.91 * x[:1500] + np.sqrt(1 - 0.91**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = int((x @ x.T >= 0.9).sum()) - 3000
+    found = sum(r.n_links for r in vectors.near_vectors(df, sample=200).collect())
+    assert links >= 3000 and 0.99 * links <= found <= links
+
+
+def test_ranks_follow_the_visits():
+    rng = np.random.default_rng(10)
+    x, books = rng.normal(size=(40, 12)), (rng.normal(size=(7, 6)), rng.normal(size=(7, 6)))
+    order = vectors.visits(x, books, 49)
+    for place in (0, 1, 20, 48):
+        assert (vectors.cell_ranks(x, books, order[:, place]) == place + 1).all()
+
+
 # -- near-duplicate texts ---------------------------------------------------------------------
 def brute_components(rows, width, percent):
     sets = {}
