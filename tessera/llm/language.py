@@ -134,21 +134,28 @@ def _fitted(docs: DataFrame, held_out: str, text: str):
     spark = docs.sparkSession
     held = F.coalesce(F.expr(held_out), F.lit(False))
     known = docs.where(~held & F.col("lang").isNotNull() & lettered(text)).select(F.col("lang").cast("string").alias("lang"), filled(F.col(text)).alias("text"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = known.withColumn("h", F.xxhash64("text"))
+    # Copies share a draw, so the rates are those of the distinct texts.
+    texts = known.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.lang: r.n for r in texts.collect()}
     limits = spark.createDataFrame([(lang, min(1 << 30, int(2 * EXAMPLES / n * (1 << 30)))) for lang, n in counts.items()], "lang string, most long")
 
     def describe(batches):
-        found = Presence()
+        found, seen = Presence(), set()  # of drawn texts, so bounded
         for batch in batches:
-            for lang, text, drawn in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, text, h in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, h) in seen:
+                    continue
+                seen.add((lang, h))
                 slots, _ = found.rows([text.encode()])
-                names = ["lang", "drawn", "slots"]
-                row = [pa.array([lang]), pa.array([drawn], pa.int64()), pa.array([np.sort(slots).astype("<u4").tobytes()], pa.binary())]
+                names = ["lang", "h", "slots"]
+                row = [pa.array([lang]), pa.array([h], pa.int64()), pa.array([np.sort(slots).astype("<u4").tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=names)
 
-    drawn = known.withColumn("drawn", draw).join(F.broadcast(limits), "lang").where("drawn < most").select("lang", "text", "drawn")
-    rows = drawn.mapInArrow(describe, "lang string, drawn long, slots binary").collect()
+    draw = F.pmod(F.col("h"), F.lit(1 << 30))
+    drawn = known.join(F.broadcast(limits), "lang").where(draw < F.col("most")).select("lang", "text", "h")
+    described = drawn.mapInArrow(describe, "lang string, h long, slots binary")
+    rows = described.groupBy("lang", "h").agg(F.min("slots").alias("slots")).withColumn("drawn", draw).collect()
     examples, taken = [], dict.fromkeys(counts, 0)
     for r in sorted({(r.drawn, r.lang, bytes(r.slots)) for r in rows}):
         if taken[r[1]] < EXAMPLES:
@@ -164,7 +171,7 @@ def detect_languages(
     """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
 
     Learns from text and non-null lang of rows where ``held_out`` is not true (null counts as not true): about
-    EXAMPLES texts with letters of each language, chosen by a hash, of which about LANDMARKS in all are landmarks; only their
+    EXAMPLES distinct texts with letters of each language, chosen by a hash (all where there are fewer), of which about LANDMARKS in all are landmarks; only their
     n-gram slots reach the driver. A null text or one without letters is ``und`` with score 0, and so are all where
     no language could be learned. Otherwise score is the softmax weight of the predicted language, ties going to the
     first by name. Whole texts are read; repeated rows are returned as they come; other columns are not read.

@@ -108,6 +108,16 @@ def test_languages(spark, sf, empty):
     assert language.detect_languages(empty).collect() == []
 
 
+def test_language_of_few_texts_with_many_copies(spark):
+    rng = random.Random(12)
+    say = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(40))
+    rows = [(f"{say(['ba', 'no', 'ti'])} {i}", "aa", 1) for i in range(300)] + [(say(["shu", "wok", "rey"]), "zz", 1000) for _ in range(20)]
+    docs = spark.createDataFrame(rows, "text string, lang string, n int").selectExpr("text", "lang", "explode(sequence(1, n)) as i")
+    docs = docs.selectExpr("monotonically_increasing_id() as doc_id", "text", "lang")
+    got = language.detect_languages(docs, held_out="false").groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"aa": 300, "zz": 20_000}
+
+
 def test_kernel_matches_sets():
     texts = [b"abcabc def", b"zz", b"a", b"the quick brown fox " * 50]
     slots, cuts = language.Presence().rows(texts)
