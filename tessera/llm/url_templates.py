@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-DEPTH = 6  # levels told apart; what lies deeper is one last segment
+CHECKED = 6  # levels of check_sql: at least as many as the deepest path it is used on has
+UNITED = 32  # levels whose finished paths are written together
 MANY = 8  # distinct segments from which rarely repeated ones count as variable
 SIGNIFICANT = 1.96  # standard errors between a branch and its siblings
 PRIOR = 8.0  # labelled pages that the smoothing is worth
@@ -50,22 +51,27 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def segments(path: Column, depth: int) -> Column:
-    """Non-empty segments; those from level ``depth`` on are one."""
-    every = F.filter(F.split(path, "/"), lambda s: s != "")
-    tail = F.array_join(F.slice(every, depth, 1 << 30), "/")
-    return F.when(F.size(every) <= depth, every).otherwise(F.concat(F.slice(every, 1, depth - 1), F.array(tail)))
+def segments(path: Column) -> Column:
+    """Non-empty segments."""
+    return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def templates(paths: DataFrame, depth: int) -> DataFrame:
-    """Add ``template`` to (host, path, pages, labelled, bad): one level of the tree at a time."""
-    out = paths.withColumn("segs", segments(F.col("path"), depth)).withColumn("template", F.lit(""))
+def templates(paths: DataFrame) -> DataFrame:
+    """Add ``template`` to (host, path, pages, labelled, bad): one level of the tree at a time, down to the deepest path.
+
+    A level only works on the paths that still have segments.
+    """
+    out = paths.withColumn("segs", segments(F.col("path"))).withColumn("template", F.lit(""))
     out = materialise(out, "paths")
     deepest = out.agg(F.max(F.size("segs"))).first()[0] or 0
+    ended = None
     for level in range(deepest):
-        seg = F.when(F.size("segs") > level, F.col("segs")[level])
-        out = out.withColumn("seg", seg)
-        branch = out.where("seg is not null").groupBy("host", "template", "seg")
+        short = out.where(F.size("segs") <= level).drop("segs")
+        ended = ended.unionByName(short) if ended is not None else short
+        if level % UNITED == UNITED - 1:
+            ended = materialise(ended, "ended")
+        out = out.where(F.size("segs") > level).withColumn("seg", F.col("segs")[level])
+        branch = out.groupBy("host", "template", "seg")
         branch = materialise(branch.agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]), "branches")
         whole = branch.groupBy("host", "template").agg(
             F.sum("pages").alias("all_pages"), F.count(F.lit(1)).alias("kinds"),
@@ -82,17 +88,17 @@ def templates(paths: DataFrame, depth: int) -> DataFrame:
         name = F.when(variable, "*").when(differs, F.col("seg")).otherwise("+")
         named = branch.join(whole, ["host", "template"]).select("host", "template", "seg", name.alias("name"))
         kept = ["host", "path", "pages", "labelled", "bad", "segs"]
-        grown = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
-        grown_rows = out.join(named, ["host", "template", "seg"], "left").select(*kept, grown.alias("template"))
+        grown = F.concat("template", F.lit("/"), "name")
+        grown_rows = out.join(named, ["host", "template", "seg"]).select(*kept, grown.alias("template"))
         out = materialise(grown_rows, "paths")  # each level reads the one before several times
-    return out.drop("segs")
+    out = out.drop("segs")
+    return ended.unionByName(out) if ended is not None else out
 
 
 def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
-    depth: int = DEPTH,
     prior: float = PRIOR,
     least_purity: float = LEAST_PURITY,
     key: str = "page_id",
@@ -113,7 +119,7 @@ def judge_urls(
     counted = rows.join(marks, "page_id", "left").groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    placed = templates(counted, depth)
+    placed = templates(counted)
     good = F.sum(F.col("labelled") - F.col("bad"))
     sums = placed.groupBy("host", "template").agg(F.sum("labelled").alias("n"), good.alias("good"))
     by_host = sums.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
@@ -130,7 +136,7 @@ def judge_urls(
     )
 
 
-def check_sql(depth: int = DEPTH, rules: Sequence[tuple[str, str]] = RULES, prior: float = PRIOR, least_purity: float = LEAST_PURITY) -> str:
+def check_sql(depth: int = CHECKED, rules: Sequence[tuple[str, str]] = RULES, prior: float = PRIOR, least_purity: float = LEAST_PURITY) -> str:
     """The same over tables pages and labels, for DuckDB."""
     fits = ", ".join(
         f"case when (host = '{n}' or host like '%.{n}') and starts_with(path, '/{t}') then {{'size': {len(r)}, 'rule': '{r}', 'verdict': '{v}'}} end"

@@ -402,6 +402,18 @@ def test_urls(spark):
     assert {r.verdict for r in url_templates.judge_urls(pages.where("page_id > 9"), labels.limit(0)).collect()} == {"allow"}
 
 
+def test_urls_tell_deep_sections_apart(spark, monkeypatch):
+    monkeypatch.setattr(url_templates, "UNITED", 3)
+    deep = "/".join("abcdefg")
+    urls = [f"http://h.io/{deep}/{part}/{i}" for part in ("casino", "books") for i in range(30)] + ["http://h.io/", "http://h.io/a/b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 30), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    rows = {r.page_id: r for r in url_templates.judge_urls(pages, labels).collect()}
+    assert len(rows) == 62 and rows[60].template == "" and rows[61].template == "/+/+"
+    assert {(r.template, r.verdict) for i, r in rows.items() if i < 30} == {("/+/+/+/+/+/+/+/casino/*", "block")}
+    assert {(r.template, r.verdict) for i, r in rows.items() if 30 <= i < 60} == {("/+/+/+/+/+/+/+/books/*", "allow")}
+
+
 # -- queries and pipeline ---------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, sf, name):
