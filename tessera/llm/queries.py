@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.decontamination import contaminated
 from tessera.llm.language import detect_languages
+from tessera.llm.line_dedup import LINES_SQL, LineIndex
 from tessera.llm.lm_scoring import lm_scores
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
@@ -84,3 +85,10 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return judged.withColumn("purity", F.round("purity", 9))
+
+
+@query("op13_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cleaned = LineIndex.build(docs, min_docs=10).clean(docs)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
