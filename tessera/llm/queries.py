@@ -17,6 +17,7 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
 from tessera.llm.revisits import CHECK_SQL, captures, header_text, resolve_revisits
+from tessera.llm.spelling import VARIANTS_SQL, variant_groups, word_counts
 from tessera.llm.transducer import token_counts
 from tessera.llm.url_templates import check_sql, judge_urls
 from tessera.llm.vectors import near_vectors
@@ -92,3 +93,9 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cleaned = LineIndex.build(docs, min_docs=10).clean(docs)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(table(spark, sf_dir, "documents"), least_length=7, noise=31)
+    return variant_groups(words.where("n >= 2"))
