@@ -155,22 +155,22 @@ def places(hashes: np.ndarray, blocks: np.ndarray):
 
 def filter_slices(vocabulary: DataFrame, blocks: dict[int, int]) -> DataFrame:
     """(length, slice, bits): the filters of the lengths in ``blocks``, filled a slice of blocks at a time."""
-    spark = vocabulary.sparkSession
+    spark, per_slice = vocabulary.sparkSession, SLICE
     sizes = spark.createDataFrame(sorted(blocks.items()), "length int, blocks long")
 
     def placed(batches):
         for batch in batches:
             length, h, many = (batch.column(i).to_numpy() for i in range(3))
             block, _, _ = places(h.view(np.uint64), many)
-            yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(block // SLICE), pa.array(h), pa.array(many)], names=["length", "slice", "h", "blocks"])
+            yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(block // per_slice), pa.array(h), pa.array(many)], names=["length", "slice", "h", "blocks"])
 
     def fill(keys: pa.Table) -> pa.Table:
         h, many = (keys.column(c).combine_chunks().to_numpy() for c in ("h", "blocks"))
         block, word, bits = places(h.view(np.uint64), many)
         part = keys.column("slice")[0].as_py()
-        held = np.zeros(min(SLICE, int(many[0]) - part * SLICE) * WORDS, np.uint64)
+        held = np.zeros(min(per_slice, int(many[0]) - part * per_slice) * WORDS, np.uint64)
         for w, mask in zip(word, bits):
-            np.bitwise_or.at(held, (block - part * SLICE) * WORDS + w.astype(np.int64), mask)
+            np.bitwise_or.at(held, (block - part * per_slice) * WORDS + w.astype(np.int64), mask)
         return pa.table({"length": keys.column("length")[:1], "slice": pa.array([part]), "bits": pa.array([held.tobytes()], pa.binary())})
 
     keyed = vocabulary.select("length", "h").join(F.broadcast(sizes), "length").select("length", "h", "blocks")
@@ -274,8 +274,23 @@ def near_pairs(vocabulary: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
         found = spark.createDataFrame([], "source long, edit long")
     b = vocabulary.select(F.col("h").alias("edit"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     a = vocabulary.select(F.col("h").alias("source"), F.col("word").alias("a"), F.col("n").alias("n_a"))
-    pairs = found.join(b, "edit").join(a, "source").where(F.levenshtein("a", "b", 1) == 1)
-    return pairs.select("a", "n_a", "b", "n_b").distinct()
+    pairs = found.distinct().join(b, "edit").join(a, "source").select("a", "n_a", "b", "n_b")
+    return pairs.mapInArrow(_confirmed, pairs.schema)
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether exactly one code point is inserted, deleted or replaced; in time linear in the words."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
+def _confirmed(batches):
+    for batch in batches:
+        yield batch.filter(pa.array([one_edit(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())], pa.bool_()))
 
 
 def _alphabet(vocabulary: DataFrame) -> np.ndarray:
@@ -303,8 +318,12 @@ def _prober(sent):
                     hit = held.positive(letters.sizes[owner] - shorter, h)
                     owners.append(owner[hit])
                     edits.append(h[hit])
-                source = letters.hash[np.concatenate(owners)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(np.concatenate(edits).view(np.int64))], names=["source", "edit"])
+                owner, h = np.concatenate(owners), np.concatenate(edits)
+                order = np.lexsort((h, owner))  # a doubled letter gives the same edit twice
+                owner, h = owner[order], h[order]
+                first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])])[: len(h)]
+                source = letters.hash[owner[first]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(h[first].view(np.int64))], names=["source", "edit"])
 
     return probe
 
