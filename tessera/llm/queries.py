@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import alignment_scores
 from tessera.llm.common import table
 from tessera.llm.decontamination import contaminated
 from tessera.llm.language import detect_languages
@@ -99,3 +100,9 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_counts(table(spark, sf_dir, "documents"), least_length=7, noise=31)
     return variant_groups(words.where("n >= 2"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment_scores(table(spark, sf_dir, "documents"), *files).withColumnRenamed("groups", "groups_sha256")
