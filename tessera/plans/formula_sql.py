@@ -165,7 +165,7 @@ class SqlFrame(FormulaFrame):
 
 
 PANEL_SQL = {
-    "fp0": f"select *, amount * 1000 / (volume * 100 + 1) as vwap, close / nullif(lag(close) {P}, 0) - 1 as returns from bars_m",
+    "fp0": f"select *, amount * 1000 / (volume * 100 + 1) as vwap, close / nullif(lag(close) {P}, 0) - 1 as returns from bars_d",
     "fp": f"select code, dt, {', '.join(f'coalesce({c}, 0) as {c}' for c in FIELDS)}, count(*) over (partition by code) as _length from fp0",
 }
 

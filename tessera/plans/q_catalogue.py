@@ -29,10 +29,10 @@ def _catalogue_queries(catalogue):
         first, last = next(iter(batch))[-3:], list(batch)[-1][-3:]
 
         def run(spark, path, batch=batch):
-            out = evaluate(formula_panel(src.bars_monthly(spark, path)), batch)
+            out = evaluate(formula_panel(src.bars_daily(spark, path)), batch)
             return out.select("code", "dt", *[digits(k).alias(k) for k in batch])
 
-        register(f"O04_{catalogue}_{first}_{last}", run, with_views(body, "bars_m", extra=ctes))
+        register(f"O04_{catalogue}_{first}_{last}", run, with_views(body, "bars_d", extra=ctes))
 
 
 for _name in ("alpha101", "alpha191"):
@@ -99,7 +99,7 @@ def _score_catalogue_sql():
     ctes, body = formulas_sql(batch)
     ctes = ctes | {
         "fv": body,
-        "rt": f"select code, dt, lead(close, 1) {P} / nullif(lead(open) {P}, 0) as r1 from bars_m",
+        "rt": f"select code, dt, lead(close, 1) {P} / nullif(lead(open) {P}, 0) as r1 from bars_d",
         "fr": " union all ".join(f"select '{k}' as factor, code, dt, {k} as value, r1 from fv join rt using (code, dt) where {k} is not null" for k in batch),
         "bins": "select *, cast(floor((dt - (select min(dt) from fr)) / 120) as integer) as bin from fr",
         "ic": f"select factor, coalesce(avg(c), 0) as ic, case when coalesce(stddev_samp(c), 0) > 1e-12 then avg(c) / stddev_samp(c) else 0 end as ir from (select factor, bin, {corr_agg_sql('(case when r1 is not null then value end)', 'r1')} as c from bins group by 1, 2) group by 1",
@@ -110,7 +110,7 @@ def _score_catalogue_sql():
     }
     return batch, with_views(
         "select factor, round(ic, 6) as ic, round(ir, 6) as ir, round(sharpe, 6) as sharpe, round(10 * abs(ic) + abs(ir) + abs(sharpe), 4) as score from ic join sh using (factor)",
-        "bars_m",
+        "bars_d",
         extra=ctes,
     )
 
@@ -119,7 +119,7 @@ def _register_scores():
     batch, sql = _score_catalogue_sql()
 
     def run(spark, path):
-        bars = src.bars_monthly(spark, path)
+        bars = src.bars_daily(spark, path)
         values = evaluate(formula_panel(bars), batch)
         values = values.select("code", "dt", *[digits(k).alias(k) for k in batch])
         out = V.factor_score(values.join(bars, ["code", "dt"]), list(batch), (1,))

@@ -10,6 +10,7 @@ Odd levels run along codes, even levels across dates.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -257,17 +258,27 @@ class FormulaFrame:
 
     # -- plan --------------------------------------------------------------------
     def select(self, outputs: Mapping[str, Term]) -> DataFrame:
-        df = self.panel.withColumn("_length", W.history_length())
+        df = spread(self.panel).withColumn("_length", W.history_length())
+        values = {k: self.number(t) for k, t in outputs.items()}
         for level in sorted(self.levels):
             columns = self.levels[level]
+            later = [v for x in self.levels if x >= level for part in (self.levels, self.parts) for v in part.get(x, {}).values()]
+            named = {name for v in [*later, *values.values()] for name in re.findall(r"\w+", v._jc.toString())}
+            df = df.select(*[c for c in df.columns if c in named or c in ("code", "dt")])
             if level % 2:
+                df = df if level == 1 else spread(df)
                 known = df.columns
                 df = df.select("*", *[v.alias(k) for k, v in self.parts[level].items()])
                 df = df.select(*known, *[v.alias(k) for k, v in columns.items()])
             else:
                 # Ranks read their input several times; ranks of ranks would multiply that level by level.
                 df = add_ranks(materialise(df, "level"), columns)
-        return df.select("code", "dt", *[S.clean(self.number(t)).alias(k) for k, t in outputs.items()])
+        return df.select("code", "dt", *[S.clean(v).alias(k) for k, v in values.items()])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows by code in as many tasks as the session shuffles to: windows cost far more than their rows' bytes say."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), W.CODE)
 
 
 def formula_panel(bars: DataFrame, fill: float | None = 0.0) -> DataFrame:

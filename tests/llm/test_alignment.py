@@ -114,3 +114,13 @@ def test_bytes_of_every_id():
     texts = ["plain", "naïve café", "日本語", "a\tb\n"]
     for text, a, b in zip(texts, *machine.encode(texts)):
         assert b"".join(machine.bytes_a[i] for i in a) == b"".join(machine.bytes_b[i] for i in b) == b" " + text.encode()
+
+
+def test_rank_table_gives_the_files_ids():
+    machine = Pair(*FILES)
+    library = machine.a.library
+    entries = [raw.decode() for raw in machine.bytes_a[:-1] if raw.decode(errors="replace").encode() == raw]
+    odd = ["\x85", "a\u180eb", "\u2003 x", "\u00a0x", "\x1c\x1d y", "\U0001fae8 new", "\u0378", "x" * 5000, " " * 5000, "don't\r\n\r\n", "\u00aa\u00bd\u2160", "e\u0301", "ǅ ǅ"]
+    assert machine.a.ranked is not None and len(entries) > 45_000
+    for text in entries + odd + [f"{a} {b}" for a, b in zip(odd, entries[::4000])]:
+        assert machine.a.encode(text) == library.encode(text, add_special_tokens=False).ids
