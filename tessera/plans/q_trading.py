@@ -123,10 +123,10 @@ def l05(spark, path):
     return order_table(spark, path).select(*_ORDER, "amount", r(L.execution_price(clock, c("pc"), c("open"), c("close"))).alias("fill_price"))
 
 
-# -- ledgers: accounts grouped into twenty portfolios ------------------------------------------------
+# -- ledgers ------------------------------------------------
 _AC = "over (partition by account, code order by dt rows between unbounded preceding and {})"
 _ledger_cte = {
-    "fv": """select account % 20 as account, code, dt, qty, abs(qty) * price as value,
+    "fv": """select account, code, dt, qty, abs(qty) * price as value,
         case when qty > 0 then 0 else abs(qty) * price * 0.001 end + greatest(abs(qty) * price * 0.0003, 5) as cost from fills""",
     "dl": """select account, code, dt, sum(case when qty > 0 then qty else 0 end) as bought, sum(case when qty > 0 then 0 else -qty end) as sold,
         sum(case when qty > 0 then value else 0 end) as buy_value, sum(case when qty > 0 then 0 else value end) as sell_value,
@@ -140,7 +140,7 @@ _ledger_cte = {
 
 
 def portfolios(spark, path):
-    return L.daily_fills(src.fills(spark, path).withColumn("account", c("account") % 20))
+    return L.daily_fills(src.fills(spark, path))
 
 
 @query("L06_available_qty", with_views("select account, code, dt, available from lg", "fills", extra=_ledger_cte))
@@ -199,7 +199,7 @@ def l09(spark, path):
 # Marked to market at month ends: fills moved to their month, monthly closes.
 _month_fills = {"fm": "select account % 20 as account, code, cast(date_trunc('month', dt) as date) as dt, qty, price from fills"}
 _nav_cte = _month_fills | {
-    "fv": _ledger_cte["fv"].replace("account % 20 as account", "account").replace("from fills", "from fm"),
+    "fv": _ledger_cte["fv"].replace("from fills", "from fm"),
     **{k: v for k, v in _ledger_cte.items() if k != "fv"},
     "ch": """select account, dt, 1000000 + sum(flow) over (partition by account order by dt) as cash from (select account, dt,
         sum(sell_value - buy_value - buy_cost - sell_cost - 0.005 * (buy_value + sell_value)) as flow from dl group by 1, 2)""",
