@@ -78,7 +78,7 @@ def tokenizer_of(path: str) -> WordTokenizer:
 BATCH_CHARS = 1 << 20
 
 
-def pieces_of(docs: DataFrame, path: str, limit: int, end_id: int, with_ids: bool, text: str, key: str, cached: int) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, limit: int, end_id: int, with_ids: bool, text: str, key: str, cached: int, keep: bool) -> DataFrame:
     """One row per piece: whole sequences of ``limit`` ids and a tail, over the ids and the end id."""
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * limit
@@ -105,6 +105,8 @@ def pieces_of(docs: DataFrame, path: str, limit: int, end_id: int, with_ids: boo
                 arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.list_(pa.int32())) for c in columns[5:]]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
+        if not keep:
+            tokenizer_of.cache_clear()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), filled(F.col(text)).alias("text"))
     return rows.mapInArrow(cut, PIECE + (", ids array<int>" if with_ids else ""))
@@ -157,17 +159,18 @@ def _keep(open_packs, done, pattern, count, room) -> None:
 
 def pack(
     docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_ids: bool = False, text: str = "text", key: str = "doc_id",
-    cached: int = CACHE_PIECES,
+    cached: int = CACHE_PIECES, keep: bool = True,
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): one row per piece.
 
     Every row of ``docs`` is a document, also where ids repeat or are null; a null or empty text is its end id
     alone. Sequences hold at most ``limit`` ids and their pieces lie one behind the other from offset 0; sequence
     ids run from 0 without gaps. Equal pieces may change places between runs of the same data, nothing else. An empty
-    table gives no rows. Other columns are not read. A Python worker remembers the ids of about ``cached`` distinct pieces.
+    table gives no rows. Other columns are not read. A Python worker remembers the ids of about ``cached`` distinct
+    pieces; with ``keep`` it holds them and the tokenizer for its next task, otherwise it lets go of them after each.
     """
     spark = docs.sparkSession
-    pieces = materialise(pieces_of(docs, path, limit, end_id, with_ids, text, key, cached), "pieces")
+    pieces = materialise(pieces_of(docs, path, limit, end_id, with_ids, text, key, cached, keep), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     packs = shortest_pack_first(histogram, limit)
     taken: Counter = Counter()
