@@ -15,11 +15,12 @@ from tessera.llm.quality import keep_good
 from tessera.session import materialise
 
 
-ROWS = "1000"  # whole texts are long rows: small batches keep the Python workers' memory bounded
+ROWS, BYTES = "1000", str(4 << 20)  # whole texts are long rows: small batches keep the Python workers' memory bounded
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of at most 2048 tokens."""
     small_batches(spark)
     # Workers outlive the stage, so they keep little: the other stages share their memory.
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=100_000)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=100_000, keep=False)
 
 
 STAGES = [
