@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,21 @@ def joined(chunked):
     return chunked.combine_chunks() if chunked.num_chunks != 1 else chunked.chunk(0)
 
 
+def releasing(task):
+    """The same task function; at its end the memory it freed goes back to the system, as Python workers outlive their tasks."""
+
+    @wraps(task)
+    def run(batches):
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def bits_of(numbers: DataFrame) -> np.ndarray:
     """Bloom bitset, 16 MB whatever the input, of the only column, a long.
 

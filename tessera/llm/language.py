@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filled
+from tessera.llm.common import filled, releasing
 
 SPECTRUM = (2, 3, 4)
 BITS = 18  # n-grams are told apart by so many bits of their hash
@@ -196,6 +196,7 @@ def keep_identified(docs: DataFrame, least: float = 0.35, held_out: str = "pmod(
     names = docs.columns
     own = ["text" if c == text else f"own_{i}" for i, c in enumerate(names)]  # out of the way of clashing names
 
+    @releasing
     def choose(batches):
         for batch in batches:
             best, score = predicted(batch.column(0), batch.column(1), langs, model.value)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import filled
+from tessera.llm.common import filled, releasing
 from tessera.session import materialise
 
 PART_ROWS = 800  # pieces of one length that one task ranks
@@ -83,6 +83,7 @@ def pieces_of(docs: DataFrame, path: str, limit: int, end_id: int, with_ids: boo
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * limit
 
+    @releasing
     def cut(batches):
         tokenizer = tokenizer_of(path)
         tokenizer.most = cached

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ragged, word_hashes
+from tessera.llm.common import ragged, releasing, word_hashes
 
 SPACE_BITS = 20  # of the hashed vocabulary
 N_WORDS = 2048  # telling words the content model may use
@@ -272,6 +272,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabell
     names = docs.columns
     own = ["text" if c == text else f"own_{i}" for i, c in enumerate(names)]  # out of the way of clashing names
 
+    @releasing
     def choose(batches):
         quality, toxic = models.value
         for batch in batches:
