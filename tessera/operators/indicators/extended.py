@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.functions import windows as W
-from tessera.operators.indicators.recursive import fold_by_code
+from tessera.functions.folds import decayed, each, scan_by_code, shift
 from tessera.operators.indicators.rolling import _keep, simple
 from tessera.operators.registry import indicator
 
@@ -34,19 +32,13 @@ def sto(bars, n, signal, slowing):
     return _keep(bars, out, "STOSK", "STOSD")
 
 
-def decayed(x: np.ndarray, span: int, least: int) -> np.ndarray:
-    """Finite-history exponential mean (weights renormalised from the first row on)."""
-    return pd.Series(x).ewm(span=span, min_periods=least, adjust=True).mean().to_numpy()
-
-
 @indicator("MASSI", "MASSI", 9, 25)
 def mass_index(bars, span, n):
-    def kernel(high, low):
-        first = decayed(high - low, span, span - 1)
-        second = decayed(first, span, span - 1)
-        return [np.where(second == 0, np.nan, first / np.where(second == 0, 1, second))]
+    def lines(h, high, low):
+        first = h.keep(decayed(each(lambda a, b: a - b, high, low), span, span - 1))
+        return [each(F.try_divide, first, decayed(first, span, span - 1))]
 
-    out = fold_by_code(bars, kernel, ["high", "low"], ["_mass"])
+    out = scan_by_code(bars, lines, ["high", "low"], ["_mass"])
     return _keep(bars, out.withColumn("MASSI", W.ts_sum(c("_mass"), n)), "MASSI")
 
 
@@ -75,12 +67,12 @@ def kst(bars, r1, r2, r3, r4, n1, n2, n3, n4):
 
 @indicator("TSI", "TSI", 25, 13)
 def tsi(bars, r, s):
-    def kernel(x):
-        move = np.concatenate([[np.nan], np.diff(x)])
-        top, bottom = (decayed(decayed(m, r, r - 1), s, s - 1) for m in (move, np.abs(move)))
-        return [np.where(bottom == 0, np.nan, top / np.where(bottom == 0, 1, bottom))]
+    def lines(h, x):
+        move = h.keep(each(lambda now, before: now - before, x, shift(x)))
+        top, bottom = (decayed(decayed(m, r, r - 1), s, s - 1) for m in (move, each(F.abs, move)))
+        return [each(F.try_divide, top, bottom)]
 
-    return fold_by_code(bars, kernel, ["close"], ["TSI"])
+    return scan_by_code(bars, lines, ["close"], ["TSI"])
 
 
 @indicator("ACCDIST", "ACCDIST", 14)
@@ -105,7 +97,7 @@ def ease_of_movement(bars, n):
 @indicator("COPP", "COPP", 10)
 def coppock(bars, n):
     rates = change_rate(c("close"), n * 11 // 10) + change_rate(c("close"), n * 14 // 10)
-    out = fold_by_code(bars.withColumn("_r", rates), lambda x: [decayed(x, n, n)], ["_r"], ["COPP"])
+    out = scan_by_code(bars.withColumn("_r", rates), lambda h, x: [decayed(x, n, n)], ["_r"], ["COPP"])
     return _keep(bars, out, "COPP")
 
 

@@ -1,8 +1,8 @@
 """Indicators with a recursion along time.
 
-Spark partitions the panel by code; inside a task each code's date-sorted history is one
-array (never longer than the calendar) and a kernel of a few array operations
-runs over it. Everything that is not recursive stays a window expression.
+A code's date-sorted history is one array (never longer than the calendar) and the recursions are folds over it inside the
+JVM (``tessera.functions.folds``). Only the cycle filters still run a Python kernel. Everything that is not recursive stays
+a window expression.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import windows as W
-from tessera.operators.indicators.rolling import N, fast_k, money_flow_volume, true_range
+from tessera.functions.folds import blank, each, let, ratio, scan, scan_by_code, shift, smooth, wilder, wilder_sum, zipped
+from tessera.operators.indicators.rolling import N, fast_k, money_flow_volume
 from tessera.operators.registry import indicator
 
 
@@ -53,278 +54,313 @@ def fold_by_code(
     return folded.select("code", F.inline(F.transform("_rows", row))).select(*bars.columns, *outputs)
 
 
-def _recursive(name: str, outputs: str, inputs: str, *defaults):
-    """Register ``fn(*arrays, *args) -> arrays`` as an indicator."""
+def _folded(name: str, outputs: str, inputs: str, *defaults):
+    """Register ``fn(history, *series, *args) -> series`` as an indicator computed by folds in the JVM."""
 
     def wrap(fn):
-        outs = outputs.split()
-
         @indicator(name, outputs, *defaults)
         def build(bars, *args):
-            return fold_by_code(bars, lambda *arrays: fn(*arrays, *args), inputs.split(), outs)
+            return scan_by_code(bars, lambda h, *series: fn(h, *series, *args), inputs.split(), outputs.split())
 
         return fn
 
     return wrap
 
 
-def _first(x: np.ndarray) -> int:
-    good = np.flatnonzero(np.isfinite(x))
-    return int(good[0]) if len(good) else len(x)
-
-
-def smooth(x: np.ndarray, n: int, alpha: float | None = None) -> np.ndarray:
-    """Exponential average seeded with the mean of the first n values."""
-    n = int(n)
-    out, start = np.full(len(x), np.nan), _first(x)
-    if len(x) - start < n:
-        return out
-    seed = x[start : start + n].mean()
-    rest = np.concatenate([[seed], x[start + n :]])
-    out[start + n - 1 :] = pd.Series(rest).ewm(alpha=alpha or 2.0 / (n + 1), adjust=False).mean()
-    return out
-
-
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    return smooth(x, n, 1.0 / n)
-
+def _filter(name: str, outputs: str, inputs: str, *defaults):
+    """Register ``fn(*arrays, *args) -> arrays`` as an indicator computed by a Python kernel per code."""
 
-def wilder_sum(x: np.ndarray, n: int) -> np.ndarray:
-    """Decaying sum y = y - y/n + x, seeded with the sum of the first n-1 values."""
-    n = int(n)
-    out, start = np.full(len(x), np.nan), _first(x)
-    if n < 2 or len(x) - start < n - 1:
-        return x.copy() if n < 2 else out
-    seed = x[start : start + n - 1].sum() / n
-    rest = np.concatenate([[seed], x[start + n - 1 :]])
-    out[start + n - 2 :] = pd.Series(rest).ewm(alpha=1.0 / n, adjust=False).mean() * n
-    return out
-
-
-def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(bottom == 0, 0.0, top / bottom)
+    def wrap(fn):
+        @indicator(name, outputs, *defaults)
+        def build(bars, *args):
+            return fold_by_code(bars, lambda *arrays: fn(*arrays, *args), inputs.split(), outputs.split())
 
+        return fn
 
-def _shift(x: np.ndarray, k: int = 1) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    out[k:] = x[: len(x) - k]
-    return out
+    return wrap
 
 
-@_recursive("EMA", "EMA", "close", N)
-def ema(x, n):
+@_folded("EMA", "EMA", "close", N)
+def ema(h, x, n):
     return [smooth(x, n)]
 
 
-@_recursive("DEMA", "DEMA", "close", N)
-def dema(x, n):
-    e1 = smooth(x, n)
-    return [2 * e1 - smooth(e1, n)]
+@_folded("DEMA", "DEMA", "close", N)
+def dema(h, x, n):
+    e1 = h.keep(smooth(x, n))
+    return [each(lambda a, b: 2 * a - b, e1, smooth(e1, n))]
 
 
-@_recursive("TEMA", "TEMA", "close", N)
-def tema(x, n):
-    e1 = smooth(x, n)
-    e2 = smooth(e1, n)
-    return [3 * e1 - 3 * e2 + smooth(e2, n)]
+@_folded("TEMA", "TEMA", "close", N)
+def tema(h, x, n):
+    e1 = h.keep(smooth(x, n))
+    e2 = h.keep(smooth(e1, n))
+    return [each(lambda a, b, d: 3 * a - 3 * b + d, e1, e2, smooth(e2, n))]
 
 
-@_recursive("T3", "T3", "close", N, 0.7)
-def t3(x, n, v):
+@_folded("T3", "T3", "close", N, 0.7)
+def t3(h, x, n, v):
     e = [x]
     for _ in range(6):
-        e.append(smooth(e[-1], n))
-    return [
-        -(v**3) * e[6] + 3 * v * v * (1 + v) * e[5] - 3 * v * (2 * v + 1 + v * v) * e[4] + (1 + v) ** 3 * e[3]
-    ]
+        e.append(h.keep(smooth(e[-1], n)))
+    weights = [(1 + v) ** 3, -3 * v * (2 * v + 1 + v * v), 3 * v * v * (1 + v), -(v**3)]
+    return [each(lambda *line: sum(w * y for w, y in zip(weights, line)), *e[3:])]
 
 
-@_recursive("TRIX", "TRIX", "close", N)
-def trix(x, n):
-    e = smooth(smooth(smooth(x, n), n), n)
-    return [100 * (_ratio(e, _shift(e)) - 1)]
+@_folded("TRIX", "TRIX", "close", N)
+def trix(h, x, n):
+    e = h.keep(smooth(smooth(smooth(x, n), n), n))
+    return [each(lambda now, before: 100 * (ratio(now, before) - 1), e, shift(e))]
 
 
-def _macd(x, fast, slow, signal, fast_alpha=None, slow_alpha=None):
+def _macd(h, x, fast, slow, signal, fast_alpha=None, slow_alpha=None):
     fast, slow = sorted((int(fast), int(slow)))
     # The fast average is seeded so that both averages begin on the same row.
-    lead = slow - fast
-    fast_line = np.concatenate([np.full(min(lead, len(x)), np.nan), smooth(x[lead:], fast, fast_alpha)])
-    line = fast_line - smooth(x, slow, slow_alpha)
-    trigger = smooth(line, signal)
-    line = np.where(np.isfinite(trigger), line, np.nan)
-    return [line, trigger, line - trigger]
+    late = smooth(blank(x, slow - fast), fast, fast_alpha)
+    line = h.keep(each(lambda a, b: a - b, late, smooth(x, slow, slow_alpha)))
+    trigger = h.keep(smooth(line, signal))
+    return [
+        each(lambda a, t: F.when(t.isNotNull(), a), line, trigger),
+        trigger,
+        each(lambda a, t: a - t, line, trigger),
+    ]
+
 
+@_folded("MACD", "MACD MACDSIGNAL MACDHIST", "close", 12, 26, 9)
+def macd(h, x, fast, slow, signal):
+    return _macd(h, x, fast, slow, signal)
 
-@_recursive("MACD", "MACD MACDSIGNAL MACDHIST", "close", 12, 26, 9)
-def macd(x, fast, slow, signal):
-    return _macd(x, fast, slow, signal)
 
+@_folded("MACDFIX", "MACDFIX MACDSIGNALFIX MACDHISTFIX", "close", N)
+def macdfix(h, x, signal):
+    return _macd(h, x, 12, 26, signal, 0.15, 0.075)
 
-@_recursive("MACDFIX", "MACDFIX MACDSIGNALFIX MACDHISTFIX", "close", N)
-def macdfix(x, signal):
-    return _macd(x, 12, 26, signal, 0.15, 0.075)
 
+def _positive(v):
+    return F.when(v.isNotNull(), F.greatest(v, F.lit(0.0)))
 
-def _gains(x, n):
-    d = x - _shift(x)
-    return wilder(np.maximum(d, 0), n), wilder(np.maximum(-d, 0), n)
 
+def _gains(h, x, n):
+    step = h.keep(each(lambda now, before: now - before, x, shift(x)))
+    return wilder(each(_positive, step), n), wilder(each(lambda v: _positive(-v), step), n)
 
-@_recursive("RSI", "RSI", "close", N)
-def rsi(x, n):
-    up, down = _gains(x, n)
-    return [100 * _ratio(up, up + down)]
 
+@_folded("RSI", "RSI", "close", N)
+def rsi(h, x, n):
+    return [each(lambda up, down: 100 * ratio(up, up + down), *_gains(h, x, n))]
 
-@_recursive("CMO", "CMO", "close", N)
-def cmo(x, n):
-    up, down = _gains(x, n)
-    return [100 * _ratio(up - down, up + down)]
+
+@_folded("CMO", "CMO", "close", N)
+def cmo(h, x, n):
+    return [each(lambda up, down: 100 * ratio(up - down, up + down), *_gains(h, x, n))]
 
 
 @indicator("STOCHRSI", "FASTKRSI FASTDRSI", N, 5, 3)
 def stochrsi(bars, n, fast, signal):
-    out = fold_by_code(bars, lambda x: rsi(x, n), ["close"], ["_rsi"])
+    out = scan_by_code(bars, lambda h, x: rsi(h, x, n), ["close"], ["_rsi"])
     out = out.withColumn("_k", fast_k(fast, "_rsi", "_rsi", "_rsi")).withColumn("FASTDRSI", W.mean(F.col("_k"), signal))
     out = out.withColumn("FASTKRSI", F.when(F.col("FASTDRSI").isNotNull(), F.col("_k")))
     return out.select(*bars.columns, "FASTKRSI", "FASTDRSI")
 
 
 def _moves(high, low):
-    up, down = high - _shift(high), _shift(low) - low
-    plus = np.where(np.isnan(up), np.nan, np.where((up > 0) & (up > down), up, 0.0))
-    minus = np.where(np.isnan(down), np.nan, np.where((down > 0) & (down > up), down, 0.0))
-    return plus, minus
+    """Upward and downward directional moves; null on the first row."""
+
+    def move(wanted, other):
+        return F.when(wanted.isNotNull(), F.when((wanted > 0) & (wanted > other), wanted).otherwise(0.0))
+
+    before = shift(high), shift(low)
+    plus = each(lambda a, b, pa, pb: move(a - pa, pb - b), high, low, *before)
+    return plus, each(lambda a, b, pa, pb: move(pb - b, a - pa), high, low, *before)
 
 
 def _range(high, low, close):
-    pc = _shift(close)
-    return np.where(np.isnan(pc), np.nan, np.maximum(np.maximum(high - low, np.abs(high - pc)), np.abs(low - pc)))
+    """True range; null on the first row."""
 
+    def span(a, b, last):
+        return F.when(last.isNotNull(), F.greatest(a - b, F.abs(a - last), F.abs(b - last)))
 
-@_recursive("PLUS_DM", "PLUSDM", "high low", N)
-def plus_dm(h, l, n):
-    return [wilder_sum(_moves(h, l)[0], n)]
+    return each(span, high, low, shift(close))
 
 
-@_recursive("MINUS_DM", "MINUSDM", "high low", N)
-def minus_dm(h, l, n):
-    return [wilder_sum(_moves(h, l)[1], n)]
+@_folded("PLUS_DM", "PLUSDM", "high low", N)
+def plus_dm(h, high, low, n):
+    return [wilder_sum(_moves(high, low)[0], n)]
 
 
-def _directional(h, l, c, n):
+@_folded("MINUS_DM", "MINUSDM", "high low", N)
+def minus_dm(h, high, low, n):
+    return [wilder_sum(_moves(high, low)[1], n)]
+
+
+def _directional(h, high, low, close, n):
     """Both direction lines; they start one decay step after their seed."""
-    span = wilder_sum(_range(h, l, c), n)
-    lines = [100 * _ratio(wilder_sum(m, n), span) for m in _moves(h, l)]
-    first = _first(span)
-    for line in lines:
-        line[: first + 1] = np.nan
-    return lines
+    span = h.keep(wilder_sum(_range(high, low, close), n))
+
+    def line(move):
+        return each(
+            lambda m, s, before: F.when(before.isNotNull(), 100 * ratio(m, s)), wilder_sum(move, n), span, shift(span)
+        )
+
+    return [line(m) for m in _moves(high, low)]
 
 
-@_recursive("PLUS_DI", "PLUSDI", "high low close", N)
-def plus_di(h, l, c, n):
-    return [_directional(h, l, c, n)[0]]
+@_folded("PLUS_DI", "PLUSDI", "high low close", N)
+def plus_di(h, high, low, close, n):
+    return [_directional(h, high, low, close, n)[0]]
 
 
-@_recursive("MINUS_DI", "MINUSDI", "high low close", N)
-def minus_di(h, l, c, n):
-    return [_directional(h, l, c, n)[1]]
+@_folded("MINUS_DI", "MINUSDI", "high low close", N)
+def minus_di(h, high, low, close, n):
+    return [_directional(h, high, low, close, n)[1]]
 
 
-@_recursive("DX", "DX", "high low close", N)
-def dx(h, l, c, n):
-    plus, minus = _directional(h, l, c, n)
-    return [100 * _ratio(np.abs(plus - minus), plus + minus)]
+@_folded("DX", "DX", "high low close", N)
+def dx(h, high, low, close, n):
+    return [each(lambda p, m: 100 * ratio(F.abs(p - m), p + m), *_directional(h, high, low, close, n))]
 
 
-@_recursive("ADX", "ADX", "high low close", N)
-def adx(h, l, c, n):
-    return [wilder(dx(h, l, c, n)[0], n)]
+@_folded("ADX", "ADX", "high low close", N)
+def adx(h, high, low, close, n):
+    return [wilder(dx(h, high, low, close, n)[0], n)]
 
 
-@_recursive("ADXR", "ADXR", "high low close", N)
-def adxr(h, l, c, n):
-    line = adx(h, l, c, n)[0]
-    return [(line + _shift(line, int(n) - 1)) / 2]
+@_folded("ADXR", "ADXR", "high low close", N)
+def adxr(h, high, low, close, n):
+    line = h.keep(adx(h, high, low, close, n)[0])
+    return [each(lambda now, before: (now + before) / 2, line, shift(line, int(n) - 1))]
 
 
-@_recursive("ATR", "ATR", "high low close", N)
-def atr(h, l, c, n):
-    return [wilder(_range(h, l, c), n)]
+@_folded("ATR", "ATR", "high low close", N)
+def atr(h, high, low, close, n):
+    return [wilder(_range(high, low, close), n)]
 
 
-@_recursive("NATR", "NATR", "high low close", N)
-def natr(h, l, c, n):
-    return [100 * _ratio(atr(h, l, c, n)[0], c)]
+@_folded("NATR", "NATR", "high low close", N)
+def natr(h, high, low, close, n):
+    return [each(lambda a, last: 100 * ratio(a, last), atr(h, high, low, close, n)[0], close)]
 
 
 @indicator("ADOSC", "ADOSC", 3, 10)
 def adosc(bars, fast, slow):
     out = bars.withColumn("_ad", F.sum(money_flow_volume()).over(W.upto()))
 
-    def kernel(x):
-        s = pd.Series(x)
-        lines = [s.ewm(alpha=2.0 / (n + 1), adjust=False).mean().to_numpy() for n in (fast, slow)]
-        value = lines[0] - lines[1]
-        value[: max(fast, slow) - 1] = np.nan
-        return [value]
+    def lines(h, x):
+        value = each(lambda a, b: a - b, smooth(x, 1, 2.0 / (fast + 1)), smooth(x, 1, 2.0 / (slow + 1)))
+        return [blank(value, max(fast, slow) - 1)]
 
-    return fold_by_code(out, kernel, ["_ad"], ["ADOSC"]).select(*bars.columns, "ADOSC")
+    return scan_by_code(out, lines, ["_ad"], ["ADOSC"]).select(*bars.columns, "ADOSC")
 
 
 def _parabolic(high, low, step, limit, signed):
-    """Stop-and-reverse line: trails the extreme by an acceleration that grows with new extremes."""
-    n = len(high)
-    out = np.full(n, np.nan)
-    if n < 2:
-        return out
-    step, limit = min(step, limit), limit
-    up = not (low[0] - low[1] > 0 and low[0] - low[1] > high[1] - high[0])
-    extreme, stop = (high[1], low[0]) if up else (low[1], high[0])
-    af = step
-    before_high, before_low, now_high, now_low = high[0], low[0], high[1], low[1]
-    for t in range(1, n):
-        if t > 1:
-            before_high, before_low = now_high, now_low
-        else:
-            before_high, before_low = high[1], low[1]
-        now_high, now_low = high[t], low[t]
-        if up:
-            if now_low <= stop:
-                up, stop = False, max(extreme, before_high, now_high)
-                out[t] = -stop if signed else stop
-                af, extreme = step, now_low
-                stop = max(stop + af * (extreme - stop), before_high, now_high)
-            else:
-                out[t] = stop
-                if now_high > extreme:
-                    extreme, af = now_high, min(af + step, limit)
-                stop = min(stop + af * (extreme - stop), before_low, now_low)
-        elif now_high >= stop:
-            up, stop = True, min(extreme, before_low, now_low)
-            out[t] = stop
-            af, extreme = step, now_high
-            stop = min(stop + af * (extreme - stop), before_low, now_low)
-        else:
-            out[t] = -stop if signed else stop
-            if now_low < extreme:
-                extreme, af = now_low, min(af + step, limit)
-            stop = max(stop + af * (extreme - stop), before_high, now_high)
-    return out
-
-
-@_recursive("SAR", "SAR", "high low", 0.02, 0.2)
-def sar(h, l, step, limit):
-    return [_parabolic(h, l, step, limit, False)]
-
-
-@_recursive("SAREXT", "SAREXT", "high low", 0.02, 0.2)
-def sarext(h, l, step, limit):
+    """Stop-and-reverse line: trails the extreme by an acceleration that grows with new extremes.
+
+    The state keeps the side (1 long, -1 short). A short position is the long rule on negated prices with high and low
+    exchanged, so one rule serves both. A row without high or low has no value and changes nothing.
+    """
+    start, most = float(min(step, limit)), float(limit)
+
+    def begin(s, row):
+        """State before the second row: the side from the first two rows, the extreme already on the second."""
+        fall = s["low"] - row["low"]
+        side = F.when((fall > 0) & (fall > row["high"] - s["high"]), -1).otherwise(1)
+        return F.struct(
+            F.lit(2).alias("k"),
+            side.alias("side"),
+            F.when(side > 0, row["high"]).otherwise(row["low"]).alias("extreme"),
+            F.when(side > 0, s["low"]).otherwise(s["high"]).alias("stop"),
+            F.lit(start).alias("pace"),
+            row["high"].alias("high"),
+            row["low"].alias("low"),
+        )
+
+    def go(s, row):
+        """Prices turned to the long side."""
+        side = s["side"]
+
+        def turned(up, down):
+            return F.when(side > 0, up).otherwise(-down)
+
+        return F.struct(
+            side.alias("side"),
+            (side * s["extreme"]).alias("extreme"),
+            (side * s["stop"]).alias("stop"),
+            s["pace"].alias("pace"),
+            turned(row["high"], row["low"]).alias("top"),
+            turned(row["low"], row["high"]).alias("bottom"),
+            turned(s["high"], s["low"]).alias("last_top"),
+            turned(s["low"], s["high"]).alias("last_bottom"),
+        )
+
+    def reversed_(t):
+        line = F.greatest(t["extreme"], t["last_top"], t["top"])
+        next_stop = F.greatest(line + start * (t["bottom"] - line), t["last_top"], t["top"])
+        return F.struct(
+            (-t["side"]).alias("side"),
+            (t["side"] * t["bottom"]).alias("extreme"),
+            (t["side"] * next_stop).alias("stop"),
+            F.lit(start).alias("pace"),
+            (t["side"] * line).alias("value"),
+        )
+
+    def held(t):
+        higher = t["top"] > t["extreme"]
+        pace = F.when(higher, F.least(t["pace"] + float(min(step, limit)), F.lit(most))).otherwise(t["pace"])
+        extreme = F.greatest(t["extreme"], t["top"])
+        next_stop = F.least(t["stop"] + pace * (extreme - t["stop"]), t["last_bottom"], t["bottom"])
+        return F.struct(
+            t["side"].alias("side"),
+            (t["side"] * extreme).alias("extreme"),
+            (t["side"] * next_stop).alias("stop"),
+            pace.alias("pace"),
+            (t["side"] * t["stop"]).alias("value"),
+        )
+
+    kind = "struct<side:int,extreme:double,stop:double,pace:double,value:double>"
+
+    def moved(s, row):
+        return let(
+            let(
+                go(s, row),
+                lambda t: F.when(t["bottom"] <= t["stop"], reversed_(t).cast(kind)).otherwise(held(t).cast(kind)),
+            ),
+            lambda m: _state(
+                F.lit(3), m["side"], m["extreme"], m["stop"], m["pace"], row["high"], row["low"], m["value"]
+            ),
+        )
+
+    fields = "k int, side int, extreme double, stop double, pace double, high double, low double, value double"
+    names = [f.split()[0] for f in fields.split(", ")]
+    whole = "struct<" + fields.replace(", ", ",").replace(" ", ":") + ">"
+
+    def _state(*values):
+        return F.struct(*[v.alias(name) for name, v in zip(names, values)]).cast(whole)
+
+    def step_(s, row):
+        none = F.lit(None).cast("double")
+        missing = row["high"].isNull() | row["low"].isNull()
+        same = _state(*[s[name] for name in names[:-1]], none)
+        first = _state(F.lit(1), F.lit(0), none, none, none, row["high"], row["low"], none)
+        second = let(begin(s, row), lambda b: moved(b, row))
+        after = F.when(missing, same).when(s["k"] == 0, first).when(s["k"] == 1, second).otherwise(moved(s, row))
+        return after
+
+    def emit(s):
+        return F.when(s["side"] < 0, -s["value"]).otherwise(s["value"]) if signed else s["value"]
+
+    zero = {name: 0 if name in ("k", "side") else None for name in names}
+    return scan(zipped(high=high, low=low), fields, zero, step_, emit)
+
+
+@_folded("SAR", "SAR", "high low", 0.02, 0.2)
+def sar(h, high, low, step, limit):
+    return [_parabolic(high, low, step, limit, False)]
+
+
+@_folded("SAREXT", "SAREXT", "high low", 0.02, 0.2)
+def sarext(h, high, low, step, limit):
     """As SAR, negative while short."""
-    return [_parabolic(h, l, step, limit, True)]
+    return [_parabolic(high, low, step, limit, True)]
 
 
 def _hilbert(price, start):
@@ -382,18 +418,18 @@ def _after(x, lookback):
     return x
 
 
-@_recursive("HT_DCPERIOD", "HTDCPERIOD", "close")
+@_filter("HT_DCPERIOD", "HTDCPERIOD", "close")
 def ht_dcperiod(x):
     return [_after(_hilbert(x, SHORT_START)["smooth_period"], SHORT_LOOKBACK)]
 
 
-@_recursive("HT_PHASOR", "INPHASE QUADRATURE", "close")
+@_filter("HT_PHASOR", "INPHASE QUADRATURE", "close")
 def ht_phasor(x):
     s = _hilbert(x, SHORT_START)
     return [_after(s["i1"], SHORT_LOOKBACK), _after(s["q1"], SHORT_LOOKBACK)]
 
 
-@_recursive("MAMA", "MAMA FAMA", "close", 0.5, 0.05)
+@_filter("MAMA", "MAMA FAMA", "close", 0.5, 0.05)
 def mama(x, fast, slow):
     s = _hilbert(x, SHORT_START)
     n, lines, slow_lines = len(x), [0.0] * len(x), [0.0] * len(x)
@@ -435,7 +471,7 @@ def _phase(x):
     return s, np.array(out)
 
 
-@_recursive("HT_DCPHASE", "HTDCPHASE", "close")
+@_filter("HT_DCPHASE", "HTDCPHASE", "close")
 def ht_dcphase(x):
     return [_after(_phase(x)[1], LONG_LOOKBACK)]
 
@@ -444,7 +480,7 @@ def _sines(phase):
     return np.sin(np.radians(phase)), np.sin(np.radians(phase + 45))
 
 
-@_recursive("HT_SINE", "SINE LEADSINE", "close")
+@_filter("HT_SINE", "SINE LEADSINE", "close")
 def ht_sine(x):
     return [_after(v, LONG_LOOKBACK) for v in _sines(_phase(x)[1])]
 
@@ -460,12 +496,12 @@ def _trendline(x, s):
     return (4 * lag[0] + 3 * lag[1] + 2 * lag[2] + lag[3]) / 10
 
 
-@_recursive("HT_TRENDLINE", "HTTRENDLINE", "close")
+@_filter("HT_TRENDLINE", "HTTRENDLINE", "close")
 def ht_trendline(x):
     return [_after(_trendline(x, _hilbert(x, LONG_START)), LONG_LOOKBACK)]
 
 
-@_recursive("HT_TRENDMODE", "HTTRENDMODE", "close")
+@_filter("HT_TRENDMODE", "HTTRENDMODE", "close")
 def ht_trendmode(x):
     """1 while price trends: no recent sine crossing, or price far from the trend line."""
     s, phase = _phase(x)
@@ -488,6 +524,3 @@ def ht_trendmode(x):
             trend = 1
         out[t] = trend
     return [_after(out, LONG_LOOKBACK)]
-
-
-__all__ = ["fold_by_code", "smooth", "wilder", "wilder_sum", "true_range"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import windows as W
+from tessera.functions.folds import scan_by_code, smooth
 from tessera.operators import evaluate as V
-from tessera.operators.indicators.recursive import fold_by_code, smooth
 from tessera.operators.registry import factor
 from tessera.plans.catalogue import recipes
 from tessera.plans.formula_sql import formulas_sql
@@ -65,14 +65,14 @@ def o01(spark, path):
 )
 def o02(spark, path):
     bars = src.bars_monthly(spark, path).select("code", "dt", "close")
-    out = fold_by_code(bars, lambda x: [smooth(x, 10)], ["close"], ["smoothed"])
+    out = scan_by_code(bars, lambda h, x: [smooth(x, 10)], ["close"], ["smoothed"])
     return out.select("code", "dt", r("smoothed", 4).alias("smoothed"))
 
 
 @query("W26_ema", with_views("select b.code, b.dt, round(e.v, 4) as ema from bars_m b left join e on e.code = b.code and e.dt = b.dt", "bars_m", extra={"x": series("close", "bars_m"), "e": ema("x", 1, 0.3)}))
 def w26(spark, path):
     bars = src.bars_monthly(spark, path).select("code", "dt", "close")
-    out = fold_by_code(bars, lambda x: [smooth(x, 1, 0.3)], ["close"], ["ema"])
+    out = scan_by_code(bars, lambda h, x: [smooth(x, 1, 0.3)], ["close"], ["ema"])
     return out.select("code", "dt", r("ema", 4).alias("ema"))
 
 

@@ -16,27 +16,6 @@ def wave(n=160):
     return 100 + 10 * np.sin(2 * np.pi * t / 20) + 0.05 * t
 
 
-def test_ema_seed_and_step():
-    x = np.array([2.0, 4, 6, 8, 10])
-    y = R.smooth(x, 3)
-    assert np.isnan(y[:2]).all()
-    assert list(y[2:]) == [4.0, 6.0, 8.0]
-
-
-def test_wilder_sum():
-    x = np.array([np.nan, 1.0, 2, 3, 4])
-    y = R.wilder_sum(x, 3)
-    assert y[2] == 3.0
-    assert math.isclose(y[3], 3 - 1 + 3)
-    assert math.isclose(y[4], 5 - 5 / 3 + 4)
-
-
-def test_short_series_stay_null():
-    for fn in (R.smooth, R.wilder_sum):
-        assert np.isnan(fn(np.array([1.0]), 5)).all()
-    assert np.isnan(R._parabolic(np.array([1.0]), np.array([1.0]), 0.02, 0.2, False)).all()
-
-
 def test_dominant_cycle_finds_the_period():
     period = R.ht_dcperiod(wave())[0]
     assert np.isnan(period[:32]).all()
@@ -64,13 +43,6 @@ def test_mama_stays_in_range_and_fama_lags():
     assert np.nanmax(mama) <= 200 and (mama[100:] >= fama[100:]).all()
 
 
-def test_parabolic_is_on_the_right_side():
-    h, l = wave() + 1, wave() - 1
-    stop = R._parabolic(h, l, 0.02, 0.2, True)
-    long = stop > 0
-    assert (np.abs(stop[1:][long[1:]]) <= h[1:][long[1:]]).all()
-
-
 def test_name_syntax():
     assert parse("close") == ("close", [], 0)
     assert parse("EMA_14_2") == ("EMA", [14], 2)
