@@ -11,7 +11,7 @@ from tessera.operators import ledger as L
 from tessera.operators import performance as R
 from tessera.plans.q_tables import _div_cte, _fr_cte, _pred_cte, bars_d, bars_m, corr_agg_sql, dividend_table, factor_returns, predictions
 from tessera.plans.q_windows import _board_sql, _name_sql, board_code, short_name
-from tessera.plans.registry import P, query, r, with_views
+from tessera.plans.registry import P, digits, digits_sql, query, r, with_views
 from tessera.sources import panel as src
 
 c = F.col
@@ -196,59 +196,64 @@ def l09(spark, path):
     return credits(spark, path).groupBy("code", "dt").agg(r(F.sum("credit"), 4).alias("credit"), F.count(F.lit(1)).alias("holders"))
 
 
-# Marked to market at month ends: fills moved to their month, monthly closes.
-_month_fills = {"fm": "select account % 20 as account, code, cast(date_trunc('month', dt) as date) as dt, qty, price from fills"}
-_nav_cte = _month_fills | {
-    "fv": _ledger_cte["fv"].replace("from fills", "from fm"),
-    **{k: v for k, v in _ledger_cte.items() if k != "fv"},
+# Marked to market on every open day.
+_nav_cte = _ledger_cte | {
     "ch": """select account, dt, 1000000 + sum(flow) over (partition by account order by dt) as cash from (select account, dt,
         sum(sell_value - buy_value - buy_cost - sell_cost - 0.005 * (buy_value + sell_value)) as flow from dl group by 1, 2)""",
-    "cm": "select distinct dt from bars_m",
-    "hd": """select s.account, s.code, cm.dt, g.qty, b.close from (select account, code, min(dt) as lo from lg group by 1, 2) s join cm on cm.dt >= s.lo
-        left join lg g on g.account = s.account and g.code = s.code and g.dt = cm.dt left join bars_m b on b.code = s.code and b.dt = cm.dt""",
-    "hf": """select account, code, dt, last_value(qty ignore nulls) over w as qty, last_value(close ignore nulls) over w as close from hd
-        window w as (partition by account, code order by dt rows between unbounded preceding and current row)""",
-    "nv": """select account, dt, positions, positions + last_value(cash ignore nulls) over (partition by account order by dt rows between unbounded preceding and current row) as nav
-        from (select account, dt, sum(qty * close) as positions from hf group by 1, 2) left join ch using (account, dt)""",
-}
-
-
-def month_portfolios(spark, path):
-    fills = src.fills(spark, path).withColumns({"account": c("account") % 20, "dt": F.trunc("dt", "month")})
-    return L.daily_fills(fills)
+    "sp": """select * from (select account, code, qty, dt as f, coalesce(lead(dt) over (partition by account, code order by dt), date '9999-12-31') as t from lg)
+        where qty <> 0""",
+    "qi": "select code, close, dt as a, coalesce(lead(dt) over (partition by code order by dt), date '9999-12-31') as b from bars_d",
+    "ev": """select account, unnest([greatest(a, f), least(b, t)]) as dt, unnest([qty * close, -qty * close]) as v from sp join qi using (code)
+        where a < t and b > f""",
+    "pe": "select account, dt, sum(v) as v from ev group by 1, 2",
+    "ds": """select account, dt, true as o from (select account, min(dt) as lo from lg group by 1) join (select distinct dt from bars_d) on dt >= lo""",
+    "nr": """select account, dt, coalesce(sum(v) over w, 0) as positions, coalesce(sum(v) over w, 0) + last_value(cash ignore nulls) over w as nav
+        from ds left join pe using (account, dt) left join ch using (account, dt)
+        window w as (partition by account order by dt rows between unbounded preceding and current row)""",
+    "nv": "select *, nav / nullif(lag(nav) over (partition by account order by dt), 0) as ratio from nr",
+}
 
 
-def month_nav(spark, path):
-    daily = month_portfolios(spark, path)
-    bars = bars_m(spark, path)
+def day_nav(spark, path):
+    daily = portfolios(spark, path)
+    bars = src.bars_daily(spark, path)
     return daily, L.daily_nav(L.position_ledger(daily), L.cash_ledger(daily), bars, bars.select("dt").distinct())
 
 
 @query(
     "L10_daily_nav",
     with_views(
-        "select account, dt, round(positions, 2) as positions, round(nav, 2) as nav, round(nav / nullif(lag(nav) over (partition by account order by dt), 0), 6) as ratio from nv",
+        f"""select account, cast(date_trunc('month', dt) as date) as month, count(*) as days, round(arg_max(positions, dt), 2) as positions,
+        round(arg_max(nav, dt), 2) as nav, round(avg(nav), 2) as mean_nav, {digits_sql('min(ratio)')} as least, {digits_sql('max(ratio)')} as most from nv group by 1, 2""",
         "fills",
-        "bars_m",
+        "bars_d",
         extra=_nav_cte,
     ),
 )
 def l10(spark, path):
-    _, nav = month_nav(spark, path)
-    return nav.select("account", "dt", r("positions", 2).alias("positions"), r("nav", 2).alias("nav"), r("ratio").alias("ratio"))
+    """Monthly statement of the daily net values."""
+    _, nav = day_nav(spark, path)
+    return nav.groupBy("account", F.trunc("dt", "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("days"),
+        r(F.max_by("positions", "dt"), 2).alias("positions"),
+        r(F.max_by("nav", "dt"), 2).alias("nav"),
+        r(F.avg("nav"), 2).alias("mean_nav"),
+        digits(F.min("ratio")).alias("least"),
+        digits(F.max("ratio")).alias("most"),
+    )
 
 
 @query(
     "L11_turnover",
     with_views(
-        "select account, dt, round(t * 100 / nullif(nav, 0), 6) as turnover from (select account, dt, sum(buy_value + sell_value) as t from dl group by 1, 2) join nv using (account, dt)",
+        f"select account, dt, {digits_sql('t * 100 / nullif(nav, 0)')} as turnover from (select account, dt, sum(buy_value + sell_value) as t from dl group by 1, 2) join nv using (account, dt)",
         "fills",
-        "bars_m",
+        "bars_d",
         extra=_nav_cte,
     ),
 )
 def l11(spark, path):
-    return L.turnover(*month_nav(spark, path)).select("account", "dt", r("turnover").alias("turnover"))
+    return L.turnover(*day_nav(spark, path)).select("account", "dt", digits("turnover").alias("turnover"))
 
 
 _trades = {
@@ -352,12 +357,12 @@ def r02(spark, path):
         round(sqrt(count(*)) * avg(ret) / stddev_pop(ret), 6) as sqn from tr) join (select 1 as j, round(sum(nav) / (1000000.0 * count(*)) - 1, 6) as roto from nv
         where dt = (select max(dt) from nv)) using (j)""",
         "fills",
-        "bars_m",
+        "bars_d",
         extra=_nav_cte | _trades,
     ),
 )
 def r08(spark, path):
-    daily, nav = month_nav(spark, path)
+    daily, nav = day_nav(spark, path)
     trades = L.trade_stats(L.closed_trades(L.position_ledger(daily)), keys=())
     last = nav.agg(F.max("dt")).scalar()
     total = nav.where(c("dt") == last).agg((F.sum("nav") / (L.START_CASH * F.count(F.lit(1))) - 1).alias("roto"))
