@@ -206,6 +206,60 @@ def test_quality_on_documents_it_did_not_see(spark, empty):
     assert quality.quality_scores(empty, known).collect() == []
 
 
+def marked_texts(n, every):
+    """(doc_id, text, toxic): every so many texts hold words that no other text does."""
+    rng = np.random.default_rng(5)
+    for i in range(n):
+        own = [f"w{k}" for k in rng.integers(0, 300, 30)]
+        yield i, " ".join(own + ["grim", "vile", "foul"] * (i % every == 0)), int(i % every == 0)
+
+
+def test_a_rare_mark_is_learned(spark):
+    rows = list(marked_texts(20_000, 1000))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0, m) for i, _, m in rows], "doc_id long, quality int, toxic int")
+    seen = labels.where("doc_id % 4000 <> 0")  # 15 of 20 toxic ones: none would be expected among 400 drawn evenly
+    toxic = quality.quality_scores(docs, seen, labelled=400, each=60).where("toxic_score >= 0.5")
+    assert {r.doc_id for r in toxic.collect()} == set(range(0, 20_000, 1000))
+
+
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark, monkeypatch):
+    rows = list(marked_texts(3000, 3))
+    rows += [(i + 3000, t, m) for i, t, m in rows[:50]] + [(9000 + i, rows[2999][1], 0) for i in range(500)]
+    docs = spark.createDataFrame([(i, t, f"s{m}") for i, t, m in rows], "doc_id long, text string, source string").repartition(7)
+    labels = spark.createDataFrame([(i, None, m) for i, _, m in rows[:240]], "doc_id long, quality int, toxic int")
+    calls, surest = [], quality._surest
+
+    def noted(described, models, handed, most):
+        found = surest(described, models, handed, most)
+        calls.append((described, models, set(handed), most, found.collect()))
+        return found
+
+    monkeypatch.setattr(quality, "_surest", noted)
+    scores = {r.doc_id: r.toxic_score for r in quality.quality_scores(docs, labels).collect()}
+    assert all((scores[i] >= 0.5) == (m == 1) for i, _, m in rows) and len(calls) > 1
+    for described, models, handed, most, found in calls:
+        all_rows = described.collect()
+        d = quality.unpacked([r.places for r in all_rows], [r.numbers for r in all_rows], [r.tags for r in all_rows])
+        for view, odds in enumerate(models[1].log_odds(d)):
+            for label, sure in ((1, quality.sigmoid(odds)), (0, quality.sigmoid(-odds))):
+                free = {(-round(s, 12), r.digest) for s, r in zip(sure.tolist(), all_rows) if not r.toxic_known and s >= quality.SURE and (1, r.digest) not in handed}
+                got = sorted((-round(r.sure, 12), r.digest) for r in found if (r.mark, r.view, r.label) == (1, view, label))
+                assert got == sorted(free)[: most[1]]
+    first, later = calls[0][1][1], calls[1][1][1]
+    assert calls[0][4] and not np.array_equal(first.metadata, later.metadata)
+    ids = {r.digest for r in calls[0][0].where("toxic_known").collect()}
+    assert ids and len({r.digest for r in calls[0][4]}) > calls[0][3][1]
+
+
+def test_quality_of_awkward_rows(spark, prose):
+    docs = awkward(spark, prose)
+    labels = spark.createDataFrame([(r.doc_id, i % 2, None) for i, r in enumerate(docs.collect())], "doc_id long, quality int, toxic int")
+    scores = quality.quality_scores(docs, labels).collect()
+    assert len(scores) == docs.count() and all(0 <= r.score <= 1 and r.toxic_score == 0 for r in scores)
+    assert quality.keep_good(docs, labels).count() == sum(r.accepted for r in scores)
+
+
 def test_quality_without_labels_keeps_all(spark, prose):
     docs = awkward(spark, prose)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
