@@ -28,6 +28,18 @@ CACHE_PIECES = 600_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+PLANE = 0x10000
+
+
+@lru_cache
+def charset(pattern: str) -> str:
+    """The characters below PLANE that a pattern of one character matches, as the ranges of a set: sets are tested faster."""
+    match = re.compile(pattern).match
+    fits = np.array([False, *(match(chr(c)) is not None for c in range(PLANE)), False])
+    edges = np.flatnonzero(fits[1:] != fits[:-1]).reshape(-1, 2)
+    return "[" + "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in edges.tolist()) + "]"
+
+
 class WordTokenizer:
     """Ids of whole texts by a word-level BPE file, with one library call per distinct piece.
 
@@ -39,10 +51,13 @@ class WordTokenizer:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         # With the odd characters out of the way, \w without digits and _ are the letters and \d the numbers.
-        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+        kinds = r"[^\W\d_]", r"\d", r"(?:[^\s\w]|_)"
+        self.split_any, self.split = (
+            re.compile(f"{letter}+|{digit}|'(?:[stmd]|re|ve|ll)|{sign}+").findall for letter, digit, sign in (kinds, map(charset, kinds))
+        )
         self.odd = np.array([unicodedata.category(chr(c)) in ("Cn", "Nl", "No") for c in range(0x110000)])
         self.odd[[ord(c) for c in "\x1c\x1d\x1e\x1fİΣ"]] = True
-        self.marks = re.compile("|".join([r"[\x1c-\x1f]", *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]))
+        self.marks = [*"\x1c\x1d\x1e\x1f", *(t.content for t in self.library.get_added_tokens_decoder().values())]
         self.known: dict[str, bytes] = {}
         self.most = CACHE_PIECES
 
@@ -53,21 +68,36 @@ class WordTokenizer:
             plain = text.isascii()
             if not plain and not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            whole = self.marks.search(text) or not plain and self.odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
-            split.append(None if whole else self.split(text.lower()))
+            whole, split_text = any(m in text for m in self.marks), self.split
+            if not plain:
+                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                whole = whole or self.odd[codes].any()
+                if codes.max() >= PLANE:
+                    split_text = self.split_any
+            split.append(None if whole else split_text(text.lower()))
         if len(self.known) > self.most:
             self.known = {}
-        new = list({p for pieces in split if pieces for p in pieces}.difference(self.known))
+        out: list[bytes | None] = []
+        later = []  # texts with pieces not met before
+        for i, (text, pieces) in enumerate(zip(texts, split)):
+            try:
+                out.append(self._whole(text) if pieces is None else self._joined(pieces))
+            except KeyError:
+                out.append(None)
+                later.append(i)
+        new = list(set().union(*(split[i] for i in later)).difference(self.known))
         for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        out = []
-        for text, pieces in zip(texts, split):
-            if pieces is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
+        for i in later:
+            out[i] = self._joined(split[i])
         return out
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, pieces))
+
 
 @lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> WordTokenizer:
