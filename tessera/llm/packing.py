@@ -25,6 +25,7 @@ from tessera.session import materialise
 
 PART_ROWS = 800  # pieces of one length that one task ranks
 CACHE_PIECES = 600_000
+LEARN = 4096  # pieces encoded in one call
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -41,10 +42,10 @@ def charset(pattern: str) -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts by a word-level BPE file, with one library call per distinct piece.
+    """Ids of whole texts by a word-level BPE file, each distinct piece encoded once.
 
     The file's normaliser and split pattern work piece by piece, so a text is lowered and split here and
-    only pieces not met before are encoded. Texts with a special token's string, or with a character that is not
+    only pieces not met before are encoded, many in one call on the task's own thread. Texts with a special token's string, or with a character that is not
     plainly a letter, a digit or a mark in every Unicode version and context, go to the library as a whole.
     """
 
@@ -86,12 +87,23 @@ class WordTokenizer:
                 out.append(None)
                 later.append(i)
         new = list(set().union(*(split[i] for i in later)).difference(self.known))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        for at in range(0, len(new), LEARN):
+            self._learn(new[at : at + LEARN])
         for i in later:
             out[i] = self._joined(split[i])
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces in one call, as the words of a text; where the library counts other words, one by one."""
+        found = self.library.encode(" ".join(pieces), add_special_tokens=False)
+        ids, words = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        cuts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1], [True]]))
+        if len(words) and np.array_equal(words[cuts[:-1]], np.arange(len(pieces))):
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update(zip(pieces, (raw[s:e] for s, e in zip(ends[:-1], ends[1:]))))
+        else:
+            self.known.update((p, self._whole(p)) for p in pieces)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -494,3 +494,11 @@ def test_pipeline_stages(spark, sf):
     assert seen == sorted(seen, reverse=True) and seen[0] > seen[1] and seen[2] > seen[3]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_pieces_learned_together_equal_the_library():
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a's b'T  c''d 12 3x_y <|ENDOFTEXT|> <|endoftext|>", "", " ", "Straße İx ǅ 𝒜b 😀😀z ٣٤ ª²", "naïve ﬁ é  x y", "x" * 5000]
+    for _ in range(2):  # first learned, then remembered
+        for text, ids in zip(texts, tokenizer.encode(texts)):
+            assert ids == np.array(tokenizer.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
