@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cross as X
+from tessera.session import ALL_KEYS_KEY, CLEAN_SHUFFLE_KEY, materialise
 from tests.conftest import day
 
 
@@ -99,3 +101,37 @@ def test_zscore(panel, population):
 def test_rank_bounds(panel):
     r = X.add_ranks(panel, {"r": F.col("x")}).agg(F.min("r").alias("lo"), F.max("r").alias("hi")).first()
     assert 0 < r.lo and r.hi <= 1
+
+
+def test_cells_hold_edges_alone(spark):
+    rng = random.Random(4)
+    values = sorted({0.0, 1.0, -1.0, 3.0, 31.0, -0.5, 5e-324, *(rng.uniform(-40, 40) for _ in range(2000)), *(2.0**k * (1 - 2**-53) for k in range(-40, 40))})
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", X.value_cell(F.col("x")).alias("k")).orderBy("x").collect()
+    cells = [r.k for r in got]
+    assert cells == sorted(cells)
+    assert all(cells.count(k) == 1 for k in cells if k % 2 == 0)
+    assert all({r.x: r.k for r in got}[v] % 2 == 0 for v in (0.0, 1.0, -1.0, 3.0, 31.0, -0.5))
+
+
+def test_ranks_of_repeated_rows_and_missing_keys(spark):
+    rows = [(1, day(0), 2.0), (1, day(0), 3.0), (2, day(0), 3.0), (None, day(0), 0.1), (3, None, 1.0), (4, day(0), None), (5, day(1), 0.0), (6, day(1), -0.0)]
+    got = X.add_ranks(spark.createDataFrame(rows, "code long, dt date, x double"), {"r": F.col("x")}).collect()
+    found = sorted((r.code or 0, r.x, r.r) for r in got if r.x is not None)
+    assert found == [(0, 0.1, None), (1, 2.0, 0.875), (1, 3.0, 0.875), (2, 3.0, 0.875), (3, 1.0, None), (5, 0.0, 0.75), (6, 0.0, 0.75)]
+    assert len(got) == len(rows)
+
+
+def test_rows_are_exchanged_twice(spark, panel):
+    """Values were combined, cut into classes, joined, gathered by row: five exchanges of all values."""
+    plan = X.add_ranks(panel, {"r": F.col("x")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning(") <= 6  # two of the values, two of counts, the join's two
+    assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and "_x" in line]
+
+
+def test_bucketed_tables_do_not_move(spark, panel):
+    before = [spark.conf.get(k, None) for k in (ALL_KEYS_KEY, CLEAN_SHUFFLE_KEY)]
+    table = materialise(panel, "bucketed", by="code")
+    assert [spark.conf.get(k, None) for k in (ALL_KEYS_KEY, CLEAN_SHUFFLE_KEY)] in (before, ["true", "false"])
+    assert sorted(map(repr, table.collect())) == sorted(map(repr, panel.collect()))
+    windowed = table.withColumn("n", F.count("x").over(Window.partitionBy("code").orderBy("dt")))
+    assert "Exchange" not in windowed._jdf.queryExecution().executedPlan().toString()
