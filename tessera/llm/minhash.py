@@ -177,6 +177,17 @@ def verified(members: DataFrame, percent: int) -> DataFrame:
     return spread.groupBy("place", "low", "high").applyInArrow(compare, "u long, v long")
 
 
+def hung(led: DataFrame) -> DataFrame:
+    """(lead, rep): links that connect each ``rep`` with all its ``leads`` (at most one a table), hung from the smallest of them.
+
+    Copies share their leads, so that links between leads repeat and fall out: a large group leaves about a link a member,
+    not one for each member and lead.
+    """
+    first = F.array_min("leads")
+    others = F.array_except(F.array_append("leads", F.col("rep")), F.array(first))
+    return led.select(first.alias("lead"), F.explode(others).alias("rep")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 4, percent: int = 80, groups: int = 12, rows: int = 3, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -195,7 +206,8 @@ def near_duplicates(
     cells = "explode(flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(i, j, x, y)))))"
     keyed = reps.selectExpr("rep", f"{cells} as cell")
     shared = keyed.groupBy("cell").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
-    met = materialise(keyed.join(shared.select("cell", "lead"), "cell").where("rep <> lead").select("lead", "rep").distinct(), "met")
+    led = keyed.join(shared.select("cell", "lead"), "cell").where("rep <> lead").groupBy("rep").agg(F.collect_set("lead").alias("leads"))
+    met = materialise(hung(led), "met")
     candidates = components(met, "lead", "rep")
     members = materialise(sets_of(docs, candidates, width, text, key).dropDuplicates(["id"]), "sets")
     found = components(materialise(verified(members, percent), "links"))

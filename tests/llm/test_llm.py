@@ -502,3 +502,15 @@ def test_pieces_learned_together_equal_the_library():
     for _ in range(2):  # first learned, then remembered
         for text, ids in zip(texts, tokenizer.encode(texts)):
             assert ids == np.array(tokenizer.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_links_of_a_large_group_hang_from_few(spark):
+    """Every member was linked with each of its leads, which components() then joined in each round."""
+    from tessera.llm.minhash import hung
+
+    led = [(i, sorted(random.Random(i).sample(range(40), 30))) for i in range(1000, 1500)] + [(7000, [6000]), (7001, [6000, 6001]), (7002, [6001])]
+    links = [(r.lead, r.rep) for r in hung(spark.createDataFrame(led, "rep long, leads array<long>")).collect()]
+    assert len(links) == len(set(links)) < 1100  # 15,004 before
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert {got[i] for i in (*range(40), *range(1000, 1500))} == {0}
+    assert {got[i] for i in (6000, 6001, 7000, 7001, 7002)} == {6000}
