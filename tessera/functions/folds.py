@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.windows import spread
+
 BLOCK = 64  # appending copies an array, so results are gathered in blocks of this many rows
 
 
@@ -152,7 +154,7 @@ class History:
     def __init__(self, bars: DataFrame, inputs):
         self.columns = bars.columns
         rows = F.sort_array(F.collect_list(F.struct("dt", *[c for c in bars.columns if c not in ("code", "dt")])))
-        self.frame = bars.groupBy("code").agg(rows.alias("_rows"))
+        self.frame = spread(bars).groupBy("code").agg(rows.alias("_rows"))
         self.kept = 0
         self.inputs = [self.keep(self._series(name)) for name in inputs]
 

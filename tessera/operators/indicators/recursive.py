@@ -31,7 +31,7 @@ def fold_by_code(
     many codes in one Arrow batch.
     """
     columns = [c for c in bars.columns if c not in ("code", "dt")]
-    rows = bars.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("dt", *columns))).alias("_rows"))
+    rows = W.spread(bars).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("dt", *columns))).alias("_rows"))
 
     @F.pandas_udf(T.StructType([T.StructField(o, T.ArrayType(T.DoubleType())) for o in outputs]))
     def run(*inputs: pd.Series) -> pd.DataFrame:

@@ -191,3 +191,15 @@ def test_no_python_and_one_exchange(spark, name):
     plan = entry.build(df, *entry.defaults)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "InPandas" not in plan
     assert plan.count("Exchange hashpartitioning(code") == 1
+
+
+@pytest.mark.parametrize("name", ["DX", "T3", "HT_PHASOR", "CDLMORNINGSTAR"])
+def test_work_along_codes_is_spread_over_the_tasks(spark, name):
+    """Tasks were merged by the bytes of their rows, to about one a core, of which the longest took several times its share."""
+    bars = spark.createDataFrame(
+        [(c, day(i), 1.0 + i, 2.0 + i, 0.5 + i, 1.5 + i, 10.0) for c in range(40) for i in range(60)],
+        "code long, dt date, open double, high double, low double, close double, volume double",
+    )
+    out = INDICATORS[name].build(bars, *INDICATORS[name].defaults)
+    assert out.count() == 2400
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1
