@@ -165,3 +165,16 @@ def test_correlation_matrix_over_pairs_with_both_values(spark):
     have = np.array([r[:2] for r in rows if r[1] is not None])
     assert set(got) == {("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")}
     assert math.isclose(got["x", "y"], np.corrcoef(have.T)[0, 1], abs_tol=1e-6) and math.isclose(got["x", "z"], -1)
+
+
+def test_bars_are_aligned_by_one_exchange(spark):
+    """Days were joined to the calendar and to their bars by day, and to their limits, which moved every day of every code three times more."""
+    on = lambda i: datetime.date(2024, 3, 1) + datetime.timedelta(days=i)
+    rows = [(1, on(0), 1.0), (1, on(4), 2.0), (1, on(4), 3.0), (1, on(3), 9.0), (None, on(0), 5.0), (None, on(2), 5.0), (2, None, 7.0), (3, on(4), 8.0)]
+    bars = spark.createDataFrame(rows, "code long, dt date, close double")
+    cal = spark.createDataFrame([(on(i),) for i in (0, 1, 2, 2, 4, 5)] + [(None,)], "dt date")
+    out = B.align_to_calendar(bars, cal)
+    want = [(1, on(0), 1.0), (1, on(1), None), (1, on(2), None), (1, on(4), 2.0), (1, on(4), 3.0), (3, on(4), 8.0)]
+    want += [(None, on(i), None) for i in (0, 1, 2)]
+    assert out.columns == ["code", "dt", "close"] and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert "left" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
