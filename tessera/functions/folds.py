@@ -34,6 +34,8 @@ def scan(
     """Array of ``emit(state)`` after each item, the state going from ``start`` through ``step(state, item)``.
 
     ``state`` is the state's schema, like ``"k int, y double"``; ``step`` gives every field of it, by name or as a struct.
+    The states are gathered, block by block, each block from the last state of the one before; the last state gathered is
+    the current one, so each step is evaluated once and nothing else is carried.
     """
     kind = f"struct<{','.join(f.strip().replace(' ', ':') for f in state.split(','))}>"
 
@@ -42,29 +44,26 @@ def scan(
             return fields.cast(kind)
         return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()]).cast(kind)
 
-    def accumulator(now, out, done):
-        return F.struct(now.alias("now"), out.alias("out"), done.alias("done"))
+    def last(states):
+        return F.element_at(states, -1)
 
-    def empty():
-        return F.array().cast("array<double>")
+    def one(states, item):
+        return F.array_append(states, packed(step(last(states), item)))
 
-    def one(acc, item):
-        return let(
-            packed(step(acc["now"], item)),
-            lambda s: accumulator(s, F.array_append(acc["out"], emit(s)), acc["done"]),
-        )
-
-    def block(acc, part):
-        return F.aggregate(part, accumulator(acc["now"], empty(), F.array_append(acc["done"], acc["out"])), one)
+    def block(done, part):
+        first = F.array(last(last(done))).cast(f"array<{kind}>")
+        return F.array_append(done, F.aggregate(part, first, one))
 
     def blocks(x):
         starts = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(BLOCK))
         return F.transform(starts, lambda i: F.slice(x, i, F.lit(BLOCK)))
 
-    zero = accumulator(packed(start), empty(), F.array().cast("array<array<double>>"))
-    return F.aggregate(
-        let(items, blocks), zero, block, lambda acc: F.flatten(F.array_append(acc["done"], acc["out"]))
-    )
+    def emitted(states):
+        """A block's results, without the state it began with."""
+        return F.transform(F.slice(states, F.lit(2), F.size(states)), emit)
+
+    zero = F.array(F.array(packed(start))).cast(f"array<array<{kind}>>")
+    return F.aggregate(let(items, blocks), zero, block, lambda done: F.flatten(F.transform(done, emitted)))
 
 
 def zipped(**series: Column) -> Column:
@@ -108,8 +107,8 @@ def smooth(x: Column, n: int, alpha: float | None = None) -> Column:
     a = 2.0 / (n + 1) if alpha is None else alpha
 
     def step(s, v):
-        seeding = F.when(s["k"] + 1 < n, s["y"] + v).when(s["k"] + 1 == n, (s["y"] + v) / n)
-        return _unless_null(s, v, seeding.otherwise(s["y"] + a * (v - s["y"])))
+        seeding = F.when(s["k"] + 1 < n, s["y"] + v).otherwise((s["y"] + v) / n)
+        return _unless_null(s, v, F.when(s["k"] >= n, s["y"] + a * (v - s["y"])).otherwise(seeding))
 
     return scan(x, "k int, y double", {"k": 0, "y": 0.0}, step, lambda s: F.when(s["k"] >= n, s["y"]))
 
