@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,16 @@ from tessera.operators.indicators.rolling import N, fast_k, money_flow_volume
 from tessera.operators.registry import indicator
 
 
+TOGETHER = 256  # codes that a kernel takes at once; their tables are a few MB each
+
+
 def fold_by_code(
     bars: DataFrame, kernel: Callable[..., Sequence[np.ndarray]], inputs: Sequence[str], outputs: Sequence[str]
 ) -> DataFrame:
-    """Append ``outputs`` = ``kernel(*input arrays)`` computed over each code in date order.
+    """Append ``outputs`` = ``kernel(*input tables)`` computed over each code in date order.
+
+    The kernel gets up to ``TOGETHER`` codes at once, one to a column; shorter series are padded with 0 at their end, so it
+    must not look ahead.
 
     A code's rows stay in the JVM as one array, bounded by the calendar; only the arrays of the inputs go to Python,
     many codes in one Arrow batch.
@@ -35,10 +42,18 @@ def fold_by_code(
 
     @F.pandas_udf(T.StructType([T.StructField(o, T.ArrayType(T.DoubleType())) for o in outputs]))
     def run(*inputs: pd.Series) -> pd.DataFrame:
-        found = [[] for _ in outputs]
-        for arrays in zip(*inputs):
-            for column, values in zip(found, kernel(*[np.asarray(a, dtype="float64") for a in arrays])):
-                column.append(np.where(np.isfinite(values), values, np.nan))
+        found = [[None] * len(inputs[0]) for _ in outputs]
+        lengths = np.array([len(a) for a in inputs[0]], dtype="int64")
+        order = np.argsort(lengths, kind="stable")  # series of like length share a table
+        for part in (order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER)):
+            tables = [np.zeros((lengths[part[-1]], len(part))) for _ in inputs]
+            for table, series in zip(tables, inputs):
+                for j, i in enumerate(part):
+                    table[: lengths[i], j] = np.asarray(series.iloc[i], dtype="float64")
+            for column, values in zip(found, kernel(*tables)):
+                for j, i in enumerate(part):
+                    v = values[: lengths[i], j]
+                    column[i] = np.where(np.isfinite(v), v, np.nan)
         return pd.DataFrame(dict(zip(outputs, found)))
 
     def series(name):
@@ -68,7 +83,7 @@ def _folded(name: str, outputs: str, inputs: str, *defaults):
 
 
 def _filter(name: str, outputs: str, inputs: str, *defaults):
-    """Register ``fn(*arrays, *args) -> arrays`` as an indicator computed by a Python kernel per code."""
+    """Register ``fn(*tables, *args) -> tables`` as an indicator computed by a Python kernel on many codes at once."""
 
     def wrap(fn):
         @indicator(name, outputs, *defaults)
@@ -366,46 +381,50 @@ def sarext(h, high, low, step, limit):
 def _hilbert(price, start):
     """Dominant-cycle state per row: smoothed price, in-phase, quadrature, period, smoothed period.
 
+    ``price`` is one code's series, or many of the same length, one to a column; each row is one step for all of them.
     The four-tap transform looks back 2, 4 and 6 rows; ``start`` is the first row it runs on.
     """
-    n = len(price)
+    n, x = len(price), np.asarray(price, dtype="float64")
     keys = ("smooth", "detrend", "i1", "q1", "ji", "jq", "i2", "q2", "re", "im", "period", "smooth_period")
-    s = {k: [0.0] * n for k in keys}
-    x = price.tolist()
+    s = {k: np.zeros(x.shape) for k in keys}
+    none = np.zeros(x.shape[1:])
 
     def back(k, t, lag):
-        return s[k][t - lag] if t - lag >= start else 0.0
+        return s[k][t - lag] if t - lag >= start else none
 
     def transform(k, t, gain):
-        v = s[k]
         return gain * (
-            0.0962 * v[t] + 0.5769 * back(k, t, 2) - 0.5769 * back(k, t, 4) - 0.0962 * back(k, t, 6)
+            0.0962 * s[k][t] + 0.5769 * back(k, t, 2) - 0.5769 * back(k, t, 4) - 0.0962 * back(k, t, 6)
         )
 
-    for t in range(3, n):
-        s["smooth"][t] = (4 * x[t] + 3 * x[t - 1] + 2 * x[t - 2] + x[t - 3]) / 10
-    for t in range(start, n):
-        last = back("period", t, 1)
-        gain = 0.075 * last + 0.54
-        s["detrend"][t] = transform("smooth", t, gain)
-        s["i1"][t] = back("detrend", t, 3)
-        s["q1"][t] = transform("detrend", t, gain)
-        s["ji"][t] = transform("i1", t, gain)
-        s["jq"][t] = transform("q1", t, gain)
-        s["i2"][t] = 0.2 * (s["i1"][t] - s["jq"][t]) + 0.8 * back("i2", t, 1)
-        s["q2"][t] = 0.2 * (s["q1"][t] + s["ji"][t]) + 0.8 * back("q2", t, 1)
-        i2, q2, i2b, q2b = s["i2"][t], s["q2"][t], back("i2", t, 1), back("q2", t, 1)
-        re = s["re"][t] = 0.2 * (i2 * i2b + q2 * q2b) + 0.8 * back("re", t, 1)
-        im = s["im"][t] = 0.2 * (i2 * q2b - q2 * i2b) + 0.8 * back("im", t, 1)
-        period = last
-        if im != 0 and re != 0:
-            angle = math.degrees(math.atan(im / re))
-            period = 360 / angle if angle else last
-        period = min(max(period, 0.67 * last), 1.5 * last) if last else period
-        period = min(max(period, 6.0), 50.0)
-        s["period"][t] = 0.2 * period + 0.8 * last
-        s["smooth_period"][t] = 0.33 * s["period"][t] + 0.67 * back("smooth_period", t, 1)
-    return {k: np.array(v) for k, v in s.items()}
+    if n > 3:
+        s["smooth"][3:] = (4 * x[3:] + 3 * x[2:-1] + 2 * x[1:-2] + x[:-3]) / 10
+    with np.errstate(all="ignore"):
+        for t in range(start, n):
+            last = back("period", t, 1)
+            gain = 0.075 * last + 0.54
+            s["detrend"][t] = transform("smooth", t, gain)
+            s["i1"][t] = back("detrend", t, 3)
+            s["q1"][t] = transform("detrend", t, gain)
+            s["ji"][t] = transform("i1", t, gain)
+            s["jq"][t] = transform("q1", t, gain)
+            i2b, q2b = back("i2", t, 1), back("q2", t, 1)
+            i2 = s["i2"][t] = 0.2 * (s["i1"][t] - s["jq"][t]) + 0.8 * i2b
+            q2 = s["q2"][t] = 0.2 * (s["q1"][t] + s["ji"][t]) + 0.8 * q2b
+            re = s["re"][t] = 0.2 * (i2 * i2b + q2 * q2b) + 0.8 * back("re", t, 1)
+            im = s["im"][t] = 0.2 * (i2 * q2b - q2 * i2b) + 0.8 * back("im", t, 1)
+            angle = np.degrees(np.arctan(im / re))
+            period = np.where((im != 0) & (re != 0) & (angle != 0), 360 / angle, last)
+            low, high = 0.67 * last, 1.5 * last
+            # As min(max(...)) of plain numbers: what compares false, like a missing value, leaves the first one.
+            held = np.where(low > period, low, period)
+            held = np.where(high < held, high, held)
+            period = np.where(last != 0, held, period)
+            period = np.where(6.0 > period, 6.0, period)
+            period = np.where(50.0 < period, 50.0, period)
+            s["period"][t] = 0.2 * period + 0.8 * last
+            s["smooth_period"][t] = 0.33 * s["period"][t] + 0.67 * back("smooth_period", t, 1)
+    return s
 
 
 SHORT_START, LONG_START = 12, 37  # first transformed row of the period and of the phase outputs
@@ -432,22 +451,37 @@ def ht_phasor(x):
 @_filter("MAMA", "MAMA FAMA", "close", 0.5, 0.05)
 def mama(x, fast, slow):
     s = _hilbert(x, SHORT_START)
-    n, lines, slow_lines = len(x), [0.0] * len(x), [0.0] * len(x)
-    line = follow = last_phase = 0.0
-    for t in range(SHORT_START, n):
-        phase = math.degrees(math.atan(s["q1"][t] / s["i1"][t])) if s["i1"][t] else 0.0
-        step = last_phase - phase
-        last_phase = phase
-        alpha = max(fast / step, slow) if step > 1 else fast
-        line = alpha * x[t] + (1 - alpha) * line
-        follow = 0.5 * alpha * line + (1 - 0.5 * alpha) * follow
-        lines[t], slow_lines[t] = line, follow
+    lines, slow_lines = np.zeros(x.shape), np.zeros(x.shape)
+    line = follow = last_phase = np.zeros(x.shape[1:])
+    with np.errstate(all="ignore"):
+        for t in range(SHORT_START, len(x)):
+            phase = np.where(s["i1"][t] != 0, np.degrees(np.arctan(s["q1"][t] / s["i1"][t])), 0.0)
+            step = last_phase - phase
+            last_phase = phase
+            pace = fast / step
+            alpha = np.where(step > 1, np.where(slow > pace, slow, pace), fast)
+            line = alpha * x[t] + (1 - alpha) * line
+            follow = 0.5 * alpha * line + (1 - 0.5 * alpha) * follow
+            lines[t], slow_lines[t] = line, follow
     return [_after(lines, SHORT_LOOKBACK), _after(slow_lines, SHORT_LOOKBACK)]
 
 
-def _phase(x):
-    """Dominant-cycle phase in degrees per row, with the transform's state."""
-    s = _hilbert(x, LONG_START)
+def _by_code(fn):
+    """A kernel for many codes that transforms them all at once and calls ``fn(series, state) -> arrays`` on each."""
+
+    @wraps(fn)
+    def run(x):
+        if x.ndim == 1:
+            return [v[:, 0] for v in run(x[:, None])]
+        s = _hilbert(x, LONG_START)
+        states = ({k: s[k][:, j].tolist() for k in ("smooth", "smooth_period")} for j in range(x.shape[1]))
+        return [np.stack(v, axis=1) for v in zip(*[fn(x[:, j], state) for j, state in enumerate(states)])]
+
+    return run
+
+
+def _phase(x, s):
+    """Dominant-cycle phase in degrees per row."""
     phase, out = 0.0, [0.0] * len(x)
     for t in range(LONG_START, len(x)):
         length = int(s["smooth_period"][t] + 0.5)
@@ -468,12 +502,13 @@ def _phase(x):
         if phase > 315.0:
             phase -= 360.0
         out[t] = phase
-    return s, np.array(out)
+    return np.array(out)
 
 
 @_filter("HT_DCPHASE", "HTDCPHASE", "close")
-def ht_dcphase(x):
-    return [_after(_phase(x)[1], LONG_LOOKBACK)]
+@_by_code
+def ht_dcphase(x, s):
+    return [_after(_phase(x, s), LONG_LOOKBACK)]
 
 
 def _sines(phase):
@@ -481,8 +516,9 @@ def _sines(phase):
 
 
 @_filter("HT_SINE", "SINE LEADSINE", "close")
-def ht_sine(x):
-    return [_after(v, LONG_LOOKBACK) for v in _sines(_phase(x)[1])]
+@_by_code
+def ht_sine(x, s):
+    return [_after(v, LONG_LOOKBACK) for v in _sines(_phase(x, s))]
 
 
 def _trendline(x, s):
@@ -497,14 +533,16 @@ def _trendline(x, s):
 
 
 @_filter("HT_TRENDLINE", "HTTRENDLINE", "close")
-def ht_trendline(x):
-    return [_after(_trendline(x, _hilbert(x, LONG_START)), LONG_LOOKBACK)]
+@_by_code
+def ht_trendline(x, s):
+    return [_after(_trendline(x, s), LONG_LOOKBACK)]
 
 
 @_filter("HT_TRENDMODE", "HTTRENDMODE", "close")
-def ht_trendmode(x):
+@_by_code
+def ht_trendmode(x, s):
     """1 while price trends: no recent sine crossing, or price far from the trend line."""
-    s, phase = _phase(x)
+    phase = _phase(x, s)
     sine, lead = _sines(phase)
     trend_line = _trendline(x, s)
     days, out = 0, np.zeros(len(x))

@@ -88,3 +88,19 @@ def test_confirmed_hikkake(spark):
     rows = [*calm, (10, 11, 9, 10, 1, 1), (9, 10.5, 8.5, 9, 1, 1), (10, 12, 9.5, 11.8, 1, 1)]
     got = [r.CDLHIKKAKE for r in candles(bars(spark, rows), ["HIKKAKE"]).orderBy("dt").collect()]
     assert got[-2:] == [100, 200]
+
+
+@pytest.mark.parametrize("name", ["MAMA", "HT_DCPERIOD", "HT_PHASOR", "HT_DCPHASE", "HT_SINE", "HT_TRENDLINE", "HT_TRENDMODE"])
+def test_cycle_filters_on_many_codes_equal_single_codes(name):
+    """The filters went code by code, row by row; now a step is taken for many codes at once."""
+    rng, lengths = np.random.default_rng(3), [120, 90, 70, 40, 13, 3, 1]
+    series = [100 + rng.normal(0, 2, n).cumsum() for n in lengths]
+    together = np.zeros((max(lengths), len(lengths)))
+    for j, x in enumerate(series):
+        together[: len(x), j] = x
+    kernel, args = getattr(R, name.lower()), INDICATORS[name].defaults
+    many = kernel(together, *args)
+    for j, x in enumerate(series):
+        for got, want in zip(many, kernel(x[:, None], *args)):
+            assert np.allclose(got[: len(x), j], want[:, 0], rtol=1e-12, equal_nan=True)
+    assert all(np.isfinite(v[-1, 0]) and np.isnan(v[0]).all() for v in many)
