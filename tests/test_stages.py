@@ -44,6 +44,23 @@ def test_ranks_in_groups_equal_ranks_together(spark, monkeypatch):
     assert len(found[0]) == 48
 
 
+def test_formulas_are_staged_in_chunks(spark, scratch, monkeypatch):
+    """All formulas of a batch were staged at once: their levels and long ranks lay on disk together."""
+    rows = [*bars(spark).collect(), (None, day(0), *[3.0] * 6), (None, day(1), *[5.0] * 6), (2, None, *[4.0] * 6)]
+    table = spark.createDataFrame(rows, bars(spark).schema)
+    formulas = {"n": nested, "d": lambda p: p.delay(p.close)} | {f"f{i}": (lambda p, i=i: p.rank(p.close * (i + 1) - p.open * i)) for i in range(3)}
+    found = []
+    for size in (100, 2):
+        monkeypatch.setattr(staging, "CHUNK", size)
+        out = evaluate(formula_panel(table), formulas)
+        found.append((out.columns, sorted(map(tuple, out.collect()), key=str)))
+    assert found[0] == found[1]
+    assert len(found[0][1]) == 51
+    after = list(scratch.rglob("*.parquet"))
+    values = {f.parent for f in after if f.parent.name.startswith("values")}
+    assert len(values) == 1 + 3 and {f.parent for f in after} == values  # one table, then one a chunk; the panel and the levels are gone
+
+
 def test_formulas_without_ranks_are_not_written(spark, scratch):
     assert evaluate(formula_panel(bars(spark)), {"a": lambda p: p.delay(p.close)}).count() == 48
     assert not list(scratch.iterdir())
