@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cross as X
+from tessera.operators.evaluate import factor_score
 from tessera.session import ALL_KEYS_KEY, CLEAN_SHUFFLE_KEY, materialise
 from tests.conftest import day
 
@@ -135,3 +136,15 @@ def test_bucketed_tables_do_not_move(spark, panel):
     assert sorted(map(repr, table.collect())) == sorted(map(repr, panel.collect()))
     windowed = table.withColumn("n", F.count("x").over(Window.partitionBy("code").orderBy("dt")))
     assert "Exchange" not in windowed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_are_counted_and_scored_in_all_tasks(spark):
+    """Merged by bytes, a few tasks held all values of a large table."""
+    rows = [(c, day(i), 1.0 + (7 * c + 3 * i) % 11, 2.0 + (c + i) % 5, float(c % 3)) for c in range(8) for i in range(30)]
+    panel = spark.createDataFrame(rows, "code long, dt date, open double, close double, f double")
+    found = X.value_positions(panel.select("dt", F.col("close").alias("_x")))
+    exchanges = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in x]
+    assert any("_x" in x for x in exchanges(found))
+    assert any("code" in x for x in exchanges(factor_score(panel, ["f"], (1,))))
+    assert found.agg(F.sum("_same")).first()[0] == len(rows)
+    assert found.where("_less + _same > _total or _total <> 8").count() == 0
