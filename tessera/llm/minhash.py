@@ -25,6 +25,7 @@ from tessera.session import materialise
 BLOCK = 4096
 COLUMNS = 4096
 BLOCK_SHINGLES = 300_000
+BLOCK_MEMBERS = 1_500  # short texts have few shingles, and the matrix of a block grows with the square of its members
 CELLS = 1_500_000  # table entries that one task writes
 
 
@@ -136,26 +137,32 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> list[int]:
     return kept
 
 
-def verified(members: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links between the members (id, s, grp) of each group, as many as connect what they link.
+def block_pairs(members: DataFrame) -> DataFrame:
+    """(id, s, grp, place, low, high): the members (id, s, grp), each in every pair of blocks that it is compared in.
 
-    A group of at most BLOCK_SHINGLES shingles is compared within one task. A larger one is cut into blocks of about
-    that size and each pair of blocks is a task of its own, so a task's memory is bounded (but for one set) and
-    no pair of documents is ever a row.
+    A group of at most BLOCK_SHINGLES shingles and BLOCK_MEMBERS members is one block; a larger one is cut into blocks of about that size.
     """
     weight = members.groupBy("grp").agg(F.sum(F.size("s")).alias("w"), F.count(F.lit(1)).alias("m")).where("m > 1")
     total = weight.agg(F.sum("w")).first()[0] or 0
     bins = max(1, -(-total // (4 * BLOCK_SHINGLES)))
-    blocks = F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("w") / F.lit(BLOCK_SHINGLES), F.col("m") / F.lit(BLOCK_MEMBERS))).cast("int")
     cut = members.join(weight.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0))))
-    spread = cut.withColumn("other", other).select(
-        "id", "s", "grp", "block",
+    return cut.withColumn("other", other).select(
+        "id", "s", "grp",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.col("grp")).alias("place"),
         F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.least("block", "other")).alias("low"),
         F.greatest("block", "other").alias("high"),
     )
 
+
+def verified(members: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between the members (id, s, grp) of each group, as many as connect what they link.
+
+    Small groups are compared within one task, each pair of a larger one's blocks is a task of its own, so a task's memory is
+    bounded (but for one set) and no pair of documents is ever a row.
+    """
+
     def compare(key, table):
         ids = joined(table.column("id")).to_numpy()
         groups = joined(table.column("grp")).to_numpy()
@@ -174,7 +181,7 @@ def verified(members: DataFrame, percent: int) -> DataFrame:
             right.append(ids[chosen[v[kept]]])
         return pa.table({"u": pa.array(np.concatenate(left)), "v": pa.array(np.concatenate(right))})
 
-    return spread.groupBy("place", "low", "high").applyInArrow(compare, "u long, v long")
+    return block_pairs(members).groupBy("place", "low", "high").applyInArrow(compare, "u long, v long")
 
 
 def hung(led: DataFrame) -> DataFrame:
